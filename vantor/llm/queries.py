@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import licenses, mixing, urlfilter
+from vantor.llm import licenses, linededup, mixing, simhash, urlfilter
 from vantor.llm._store import written
 
 #: Weights of the sources in code point order, repeating.
@@ -56,6 +56,11 @@ FROM rated
 """
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, width=4, keep=("doc_id",)).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -81,13 +86,34 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs, keep=("doc_id",))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.dedup_lines(docs)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+owners AS (SELECT key, min(doc_id) AS owner, count(DISTINCT doc_id) AS n FROM keyed WHERE length(key) >= 10 GROUP BY key),
+marked AS (SELECT k.*, coalesce(o.n >= 2 AND k.doc_id <> o.owner, false) AS lost FROM keyed k LEFT JOIN owners o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_url_filter": op3_url_filter,
         "op9_license_scan": op9_license_scan,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_line_dedup": OP10_SQL}
