@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import licenses, linededup, mixing, simhash, urlfilter
+from vantor.llm import decontaminate, licenses, linededup, mixing, simhash, urlfilter
 from vantor.llm._store import written
 
 #: Weights of the sources in code point order, repeating.
@@ -81,6 +81,32 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.mark(docs, _table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+item_at AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items),
+grams AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM item_at),
+lengths AS (SELECT DISTINCT n FROM grams),
+doc_at AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT a.doc_id, a.i, a.n, g.item_id FROM doc_at a JOIN grams g ON g.n = a.n AND g.gram = array_to_string(a.w[a.i:a.i + a.n - 1], ' ')),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN hit_items t ON t.doc_id = d.doc_id
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, keep=("doc_id",))
@@ -110,10 +136,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_url_filter": op3_url_filter,
+        "op7_decontaminate": op7_decontaminate,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_line_dedup": OP10_SQL}
