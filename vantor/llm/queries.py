@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import decontaminate, licenses, linededup, mixing, simhash, urlfilter
+from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter
 from vantor.llm._store import written
 
 #: Weights of the sources in code point order, repeating.
@@ -81,6 +81,32 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality.judge(docs, keep=("doc_id",))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
+def toxicity_machine(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.FactorizationMachine:
+    """Learnt from the labels that aren't held out."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(toxicity.bucket_of(F.col("doc_id"), 5) != 0)
+    return toxicity.train(docs, labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_machine(spark, docs, sf_dir), keep=("doc_id",))
+    held_out = F.coalesce(toxicity.bucket_of(F.col("doc_id"), 5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(toxicity.bucket_of(F.col("doc_id"), 7) == 2, F.lit(True))
+    docs = docs.withColumn("held_out", held_out)
+    return hmm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.mark(docs, _table(spark, sf_dir, "benchmark"))
@@ -136,6 +162,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_toxicity": op5_toxicity,
+        "op6_hmm_score": op6_hmm_score,
         "op7_decontaminate": op7_decontaminate,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
