@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter
+from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, repeats, simhash, toxicity, urlfilter
 from vantor.llm._store import written
 
 #: Weights of the sources in code point order, repeating.
@@ -133,6 +133,12 @@ FROM d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN hit_items t ON t.d
 """
 
 
+def op8_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = repeats.remove_repeats(docs, keep=("doc_id",))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, keep=("doc_id",))
@@ -166,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_hmm_score": op6_hmm_score,
         "op7_decontaminate": op7_decontaminate,
+        "op8_repeat_dedup": op8_repeat_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
     }
