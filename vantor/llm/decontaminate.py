@@ -12,6 +12,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many distinct n-grams (some 150 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_NGRAMS = 1_000_000
+#: A window is looked up only if its first words are those of a benchmark window, by a table of one byte for each hash value.
+LEAD = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +36,27 @@ def ngrams(benchmark: DataFrame, length: int = 10, id_col: str = "item_id", text
     return grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
 
 
+def _lead(of: Column, at: Column, length: int) -> Column:
+    """A hash of the first words of the window that starts at the word ``at`` (from 1)."""
+    return F.xxhash64(*[F.get(of, at + (k - 1)) for k in range(min(LEAD, length))])
+
+
+def _starts(split: DataFrame, grams: DataFrame, length: int) -> Column:
+    """The starts of the windows of a row of ``split`` whose first words are known to ``grams``."""
+    size = 1 << 16
+    n = grams.where(F.col("len") == length).count()
+    while size < 16 * n and size < 1 << 24:
+        size *= 2
+    own = F.split(F.col("gram"), " ")
+    places = grams.where(F.col("len") == length).select(F.pmod(_lead(own, F.lit(1), length), F.lit(size)).cast("int").alias("p")).distinct()
+    table = bytearray(size)
+    for (p,) in places.toLocalIterator():  # at most ``size`` numbers
+        table[p] = 1
+    known = F.lit(bytes(table))
+    every = F.when(F.col("n") >= length, F.sequence(F.lit(1), F.col("n") - (length - 1))).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: F.substring(known, F.pmod(_lead(F.col("w"), i, length), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+
+
 def hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
     """``text_key, spans, items`` of each distinct text with a hit: the word spans (from 1) of all occurring windows, and their items."""
     kept = written(grams, "ngrams")
@@ -46,8 +69,11 @@ def hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame
     side = F.broadcast(kept) if n_grams <= BROADCAST_NGRAMS else kept
     found = None
     for length in lengths:
-        grown = split.where(F.col("n") >= length).select("text_key", F.posexplode(_windows(F.col("w"), F.col("n"), length)).alias("i", "gram"))
-        near = grown.join(side.where(F.col("len") == length), "gram").select("text_key", F.struct((F.col("i") + 1).alias("at"), F.col("len")).alias("span"), "items")
+        # no condition on the starts: it would be pushed below the split and have the words taken apart for each window
+        starts = split.withColumn("starts", _starts(split, kept, length))
+        windows = F.transform("starts", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, F.lit(length)), " ").alias("gram")))  # noqa: B023
+        grown = starts.select("text_key", F.inline(windows))
+        near = grown.join(side.where(F.col("len") == length), "gram").select("text_key", F.struct(F.col("at"), F.col("len")).alias("span"), "items")
         found = near if found is None else found.unionByName(near)
     return found.groupBy("text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
