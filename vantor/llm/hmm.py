@@ -15,13 +15,13 @@ from vantor.llm import _bytes as B
 from vantor.llm._store import written
 
 STATES = 8
-ITERATIONS = 5
+ITERATIONS = 4
 #: The most frequent tokens have an emission probability of their own in each state; all others share one symbol.
 SYMBOLS = 1 << 14
 #: Counts of so many frequent tokens are broadcast (12 bytes each); those of all others are joined.
 FREQUENT = 1 << 18
 #: Tokens that a task puts through the model at once.
-GROUP = 3 << 20
+GROUP = 3 << 19
 END = np.uint64(0)
 _PART = 1 << 10
 
@@ -149,28 +149,38 @@ class HiddenMarkov:
 
     def expect(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Log-likelihood and expected counts of starts, moves and emissions."""
-        found, _, at, live, alphas, scales = self.forward(symbols, lengths, keep=True)
+        half = HiddenMarkov(*(v.astype(np.float32) for v in (self.start, self.move, self.emit)), self.shares)
+        found, _, at, live, alphas, scales = half.forward(symbols, lengths, keep=True)
         states = len(self.start)
-        moves, gammas, places = np.zeros((states, states)), [], []
-        beta = np.ones((0, states))
+        moves, emits, starts = np.zeros((states, states)), np.zeros_like(self.emit), np.zeros(states)
+        gammas, places, waiting = [], [], 0
+        beta = np.ones((0, states), np.float32)
+
+        def add():
+            gamma, place = np.concatenate(gammas), np.concatenate(places)
+            for k in range(states):
+                emits[:, k] += np.bincount(place, gamma[:, k], len(self.shares))
+
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
             alpha = alphas[t]
-            here = np.ones((n, states))
+            here = np.ones((n, states), np.float32)
             if len(beta):
                 m = len(beta)
-                ahead = beta * self.emit[symbols[at[:m] + t + 1]] / scales[t + 1][:, None]
+                ahead = beta * half.emit[symbols[at[:m] + t + 1]] / scales[t + 1][:, None]
                 moves += alpha[:m].T @ ahead
-                here[:m] = ahead @ self.move.T
+                here[:m] = ahead @ half.move.T
             beta = here
             gammas.append(alpha * beta)
             places.append(symbols[at[:n] + t])
-        moves *= self.move
-        if not gammas:
-            return 0.0, np.zeros(states), moves, np.zeros_like(self.emit)
-        gamma, place = np.concatenate(gammas), np.concatenate(places)
-        emits = np.stack([np.bincount(place, gamma[:, k], len(self.shares)) for k in range(states)], 1)
-        return float(found.sum()), gammas[-1].sum(0), moves, emits
+            alphas[t] = None
+            waiting += n
+            if t == 0:
+                starts = gammas[-1].sum(0, dtype=np.float64)
+            if t == 0 or waiting > 1 << 18:
+                add()
+                gammas, places, waiting = [], [], 0
+        return float(found.sum()), starts, moves * self.move, emits
 
     def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> HiddenMarkov:
         """The next model; a few counts of the overall shares keep every probability above zero."""
