@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, most_bits: int = MOST_BITS,
     return marked.join(labels, F.col("fp") == F.col("_fp"), "left").select(*names, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component; of repeated rows of that id the first by content."""
-    found = near_duplicates(docs, **options)
-    own = options.get("id_col", "doc_id")
-    return found.where(F.col(own).isNull() | (F.col(own) == F.col("component_id"))).drop("fp", "fingerprint", "component_id")
+def keep_one(docs: DataFrame, width: int = 5, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that have a smaller id in their component. Rows that repeat the smallest id, and rows without id, stay."""
+    found = near_duplicates(docs, width, most_bits, id_col, text_col, keep=(id_col,))
+    others = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(others, id_col, "left_anti").select(*docs.columns)
