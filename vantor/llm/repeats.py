@@ -20,10 +20,12 @@ from vantor.llm._store import written
 
 WINDOW = 100
 Q = 32
-#: An anchor with more classes than this has its windows compared one by one in a shuffled join instead of in one task.
+#: An anchor with more classes than this has its shared windows found by sorting and joining instead of in the memory of one task.
 MOST_CLASSES = 20_000
 _SLICE = 1 << 20
 _HELD = 1 << 21
+#: Surroundings whose trees a task scans together.
+_TREE_ROWS = 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -260,8 +262,8 @@ def maximal_repeats(x: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: t
                 yield members[a : b + 1], extent, length
 
 
-def _scan_trees(around: DataFrame, window: int, q: int, most: int) -> DataFrame:
-    """Spans of all occurrences but the first of each maximal repeat; anchors of too many classes give rows of their windows (``x, c``: hash)."""
+def _scan_trees(around: DataFrame, window: int, q: int) -> DataFrame:
+    """Spans ``doc, th, at, to`` of all occurrences but the first of each maximal repeat, anchor by anchor."""
     before = window - q
 
     def scan(table: pa.RecordBatch):
@@ -274,64 +276,79 @@ def _scan_trees(around: DataFrame, window: int, q: int, most: int) -> DataFrame:
             out.append(np.stack([later, at[later] - a, at[later] + b]))
         if out:
             who, low, high = np.concatenate(out, axis=1)
-            yield _rows(_SPAN, 0, 0, *_merged(doc[who], th[who], low, high))
-
-    def apart(table: pa.RecordBatch):
-        """All windows around each anchor, by hash."""
-        doc, th, at = (table.column(i).to_numpy() for i in range(1, 4))
-        joined = B.Text(pa.array([a[::-1] + b for a, b in zip(table.column(4).to_pylist(), table.column(5).to_pylist(), strict=True)], pa.binary()))
-        size, room = np.diff(joined.at), np.diff(B.Text(table.column(4)).at)
-        n = np.maximum(size - window + 1, 0)
-        row = np.repeat(np.arange(len(at)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = joined.at[row] + k
-        h1, h2 = joined.hashes128(start, start + window)
-        begin = at[row] - room[row] + k
-        yield _rows(_ASKED, B.signed(h1), B.signed(h2), doc[row], th[row], begin, begin + window)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _merged(doc[who], th[who], low, high)], ["doc", "th", "at", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n, dense = 0, None
+        n = 0
         for batch in batches:
-            if dense is not None:
-                k = int(np.searchsorted(batch.column(0).to_numpy(), dense, "right"))
-                for lo in range(0, k, 4096):
-                    yield from apart(batch.slice(lo, min(4096, k - lo)))
-                batch = batch.slice(k)
-                if not batch.num_rows:
-                    continue
-                dense = None
             held.append(batch)
             n += batch.num_rows
-            if n <= most:
+            if n <= _TREE_ROWS:
                 continue
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             x = table.column(0).to_numpy()
-            cut = int(np.searchsorted(x, x[-1], "left"))
+            cut = int(np.searchsorted(x, x[-1], "left"))  # the last anchor may go on
             if cut:
-                yield from split(table.slice(0, cut))
+                yield from scan(table.slice(0, cut))
             held, n = [table.slice(cut)], table.num_rows - cut
-            if n > most:
-                dense = x[-1]
-                for lo in range(0, n, 4096):
-                    yield from apart(held[0].slice(lo, min(4096, n - lo)))
-                held, n = [], 0
         if n:
-            yield from split(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return around.repartition(F.col("x")).sortWithinPartitions("x").mapInArrow(run, "doc long, th long, at long, to long")
+
 
-    def split(table: pa.RecordBatch):
-        """Whole anchors; those of too many classes go apart."""
+def _neighbours(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows, one by one to the end, with the most that each shares with a row of its anchor: that is with the one before or after it."""
+    held, share_before = None, 0
+    for batch in batches:
+        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         x = table.column(0).to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        size = np.diff(np.append(edge, len(x)))
-        big = np.repeat(size > most, size)
-        if big.any():
-            yield from apart(table.filter(pa.array(big)))
-            table = table.filter(pa.array(~big))
-        if table.num_rows:
-            yield from scan(table)
+        rows, size = _matrix(table.column(column), width)
+        share = np.zeros(len(x), np.int64)
+        share[0] = share_before
+        share[1:] = np.where(x[1:] == x[:-1], _common(rows[1:], rows[:-1], np.minimum(size[1:], size[:-1])), 0)
+        if len(x) > 1:
+            yield table.slice(0, len(x) - 1), np.maximum(share[:-1], share[1:])
+        held, share_before = table.slice(len(x) - 1), int(share[-1])
+    if held is not None:
+        yield held, np.array([share_before])
+
+
+def _windows_of_dense(around: DataFrame, window: int, q: int) -> DataFrame:
+    """``x, c, doc, th, at, to``: the hashes of those windows around anchors of many classes that may occur again.
+
+    A window can only be shared if some other class of the anchor shares as much to the right, and some class as much to the
+    left; sorting by either side tells how much that is, as rows stream by.
+    """
+    before = window - q
+
+    def to_right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, share in _neighbours(batches, 5, window):
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(share.astype(np.int32))], [*table.schema.names, "reach"])
+
+    def to_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, share in _neighbours(batches, 4, before):
+            doc, th, at = (table.column(i).to_numpy() for i in range(1, 4))
+            least = np.maximum(window - table.column(6).to_numpy().astype(np.int64), 0)
+            n = np.maximum(np.minimum(share, before) - least + 1, 0)
+            for lo in range(0, len(n), 4096):  # bounds the windows at hand
+                part = slice(lo, lo + 4096)
+                row = np.repeat(np.arange(len(n))[part], n[part])
+                if not len(row):
+                    continue
+                back = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                cut = table.slice(lo, 4096)
+                joined = B.Text(pa.array([a[::-1] + b for a, b in zip(cut.column(4).to_pylist(), cut.column(5).to_pylist(), strict=True)], pa.binary()))
+                room = np.diff(B.Text(cut.column(4)).at)
+                start = joined.at[row - lo] + room[row - lo] - back
+                h1, h2 = joined.hashes128(start, start + window)
+                begin = at[row] - back
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(h1)), pa.array(B.signed(h2)), pa.array(doc[row]), pa.array(th[row]), pa.array(begin), pa.array(begin + window)], ["x", "c", "doc", "th", "at", "to"])
 
-    return around.repartition(F.col("x")).sortWithinPartitions("x").mapInArrow(run, _SCHEMA)
+    sides = "x long, doc long, th long, at int, left binary, right binary"
+    ranked = around.repartition(F.col("x")).sortWithinPartitions("x", "right").mapInArrow(to_right, sides + ", reach int")
+    return ranked.repartition(F.col("x")).sortWithinPartitions("x", "left").mapInArrow(to_left, "x long, c long, doc long, th long, at long, to long")
 
 
 def _later_windows(rows: DataFrame) -> DataFrame:
@@ -357,11 +374,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = written(_classes(_first_of_classes(keyed, window, q), window, q), "repeat-classes")
     asked = found.where(F.col("kind") == _ASKED).select("x", "doc", "th", "at")
-    deep = written(_scan_trees(_surroundings(keyed, asked, window, q), window, q, most_classes), "repeat-trees")
-    spans = found.where(F.col("kind") == _SPAN).select("doc", "th", "at", "to").unionByName(deep.where(F.col("kind") == _SPAN).select("doc", "th", "at", "to"))
-    apart = deep.where(F.col("kind") == _ASKED).select("x", "c", "doc", "th", "at", "to")
-    if apart.limit(1).count():
-        spans = spans.unionByName(_later_windows(apart))
+    around = written(_surroundings(keyed, asked, window, q), "repeat-surroundings")
+    dense = written(around.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > most_classes).select("x"), "repeat-dense")
+    spans = found.where(F.col("kind") == _SPAN).select("doc", "th", F.col("at").cast("long").alias("at"), F.col("to").cast("long").alias("to"))
+    spans = spans.unionByName(_scan_trees(around.join(dense, "x", "left_anti"), window, q))
+    if dense.limit(1).count():
+        spans = spans.unionByName(_later_windows(_windows_of_dense(around.join(dense, "x", "left_semi"), window, q)))
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("ats"), F.collect_list("to").alias("tos"))
     cols = {f"_{i}": F.col(c) for i, c in enumerate(names)}
     aliases = list(cols)
