@@ -63,7 +63,7 @@ def hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame
     lengths = sorted(r[0] for r in kept.select("len").distinct().collect())  # at most the window's length
     n_grams = kept.count()
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "text_key binary, spans array<struct<at:int,len:int>>, items array<bigint>").select("text_key", "spans", F.col("items").cast(grams.schema["items"].dataType))
+        return kept.select(F.unhex("gram").alias("text_key"), F.array(F.struct(F.lit(0).alias("at"), F.col("len"))).alias("spans"), "items")
     split = docs.select(F.unhex(F.md5(F.col(text_col))).alias("text_key"), words(F.col(text_col)).alias("w"))
     split = split.withColumn("n", F.size("w"))
     side = F.broadcast(kept) if n_grams <= BROADCAST_NGRAMS else kept

@@ -300,7 +300,7 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple
     ``base_score`` is the log10 probability under add-one unigrams of all training tokens, exact for every token: counts of
     frequent tokens are broadcast, those of the others are joined. ``score`` is the log10 probability under the hidden Markov
     model: a state emits a frequent token with a probability of its own, or one of all other tokens, which then share that
-    probability as the unigrams do; with one state it is the base score. Null and empty texts are one end. Repeated rows are
+    probability as the unigrams do. Null and empty texts are one end. Repeated rows are
     scored alike, and count again in training. Without training rows every token is unknown. Columns that have a name of the
     result are replaced; an empty table gives an empty result.
     """

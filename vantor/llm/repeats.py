@@ -268,8 +268,10 @@ def _scan_trees(around: DataFrame, window: int, q: int) -> DataFrame:
 
     def scan(table: pa.RecordBatch):
         x, doc, th, at = (table.column(i).to_numpy() for i in range(4))
-        age = np.empty(len(x), np.int64)
-        age[np.lexsort((at, th, doc))] = np.arange(len(x))
+        order = np.lexsort((at, th, doc))
+        d, t, a = doc[order], th[order], at[order]
+        age = np.empty(len(x), np.int64)  # equal for the same place of a repeated row
+        age[order] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1])]))
         out = []
         for members, a, b in maximal_repeats(x, _matrix(table.column(4), before), _matrix(table.column(5), window), window):
             later = members[age[members] != age[members].min()]

@@ -64,7 +64,7 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(owner, term, n), -35, 35)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int = RANK, epochs: int = 10, rate: float = 0.1, decay: float = 0.3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
+def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int = RANK, epochs: int = 30, rate: float = 0.1, decay: float = 0.3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
     """Minimises the logistic loss by AdaGrad over shuffled batches; classes are weighed equally."""
     size = 1 << bits
     machine = FactorizationMachine(0.0, np.zeros(size), np.zeros((size, rank)))
