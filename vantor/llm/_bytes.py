@@ -113,7 +113,7 @@ class Text:
         return starts, ends, who
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that a slice has at most ``most`` bytes of text or a single row."""
     for batch in batches:
         if not batch.num_rows:
