@@ -139,6 +139,27 @@ def op8_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 256)) AS base FROM d),
+parts AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * (256 + 99)) AS part FROM starts),
+places AS (SELECT doc_id, base, part, unnest(range(0, least(256, length(part) // 2 - 99))) AS j FROM parts),
+keys AS (SELECT doc_id, base + j AS i, md5(substr(part, 2 * j + 1, 200)) AS k FROM places),
+firsts AS (SELECT k, min({'doc': doc_id, 'i': i}) AS f FROM keys GROUP BY k HAVING count(*) > 1),
+later AS (SELECT keys.doc_id, keys.i FROM keys JOIN firsts ON keys.k = firsts.k WHERE {'doc': keys.doc_id, 'i': keys.i} > firsts.f),
+steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM steps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans),
+pieces AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM cuts JOIN d ON d.doc_id = cuts.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN pieces p ON p.doc_id = d.doc_id
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, keep=("doc_id",))
@@ -179,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_repeat_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
