@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from vantor.operators import facts, graph, history, icp, resolution, rollups
+from vantor.operators import extract, facts, graph, history, icp, pipeline, resolution, rollups
 from vantor.sources import tables
 from vantor.streaming import events as streams
 
@@ -93,3 +93,21 @@ def test_stream_equals_batch(spark, tmp_path):
     query = streams.tumbling(stream, "1 hour", ["user_id"]).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, streams.tumbling(rows, "1 hour", ["user_id"]).collect()))
+
+
+def test_extraction(spark):
+    frame = spark.createDataFrame([('<a href="https://www.linkedin.com/company/Acme"></a><script type="application/ld+json">{"a": 1}</script>', "Sure: ```json\n{'x': None, \"y\": [1,],}\n```", "1 Main St,  Springfield , 12345", "User-agent: *\nDisallow: /private\nUser-agent: bad\nDisallow: /\nSitemap: https://a.b/s.xml")], "html string, answer string, address string, robots string")
+    got = frame.select(
+        extract.profiles(F.col("html")).alias("p"), F.size(extract.json_ld(F.col("html"))).alias("n"), extract.json_block(F.col("answer")).alias("j"), extract.address_parts(F.col("address")).alias("a"), extract.robots(F.col("robots")).alias("r"), extract.phones(F.lit("call 98765 43210 or +1 415 555 0100")).alias("t"),
+    ).first()
+    assert [tuple(x) for x in got.p] == [("linkedin", "acme")] and got.n == 1
+    assert got.j == "{'x': null, \"y\": [1]}"
+    assert tuple(got.a) == ("1 Main St, Springfield, 12345", "Springfield", "12345")
+    assert got.r.disallow == ["/private"] and got.r.sitemaps == ["https://a.b/s.xml"]
+    assert got.t == ["+919876543210", "+14155550100"]
+
+
+def test_circuit_opens_and_tries_again(spark):
+    calls = [("m", T0 + dt.timedelta(seconds=s), ok) for s, ok in [*((i, False) for i in range(5)), (6, True), (40, True), (41, True)]]
+    got = [r.state for r in pipeline.circuit(spark.createDataFrame(calls, "m string, ts timestamp, ok boolean"), "m", "ts", "ok").orderBy("ts").collect()]
+    assert got == ["closed"] * 5 + ["open", "half_open", "closed"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vantor.functions import numeric as N
 from vantor.functions import text as T
-from vantor.operators import facts, graph, history, icp, pages, quality, resolution, rollups, scoring, search
+from vantor.operators import extract, facts, graph, history, icp, pages, pipeline, quality, resolution, rollups, scoring, search
 from vantor.sources.tables import table
 from vantor.streaming import events as streams
 
@@ -609,3 +609,79 @@ def pricing_summary(spark, d):
 @register()
 def throttled_alerts(spark, d):
     return rollups.throttle(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 7200)
+
+
+# --- extraction and the nightly run ---
+
+
+@register(r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\+?\d[\d\-\s().]{6,16}\d)', 1)) AS raw FROM documents), d AS (SELECT doc_id, regexp_replace(raw, '[^0-9+]', '', 'g') AS x FROM f WHERE length(regexp_replace(raw, '[^0-9]', '', 'g')) BETWEEN 7 AND 15),
+n AS (SELECT doc_id, CASE WHEN starts_with(x, '00') THEN '+' || substr(x, 3) WHEN starts_with(x, '0') AND length(x) = 11 THEN '+91' || substr(x, 2) WHEN length(x) = 10 AND NOT starts_with(x, '+') THEN '+91' || x ELSE x END AS phone FROM d)
+SELECT DISTINCT doc_id, phone FROM n WHERE length(phone) >= 7""")
+def phone_extract(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(extract.phones(F.col("text"))).alias("phone"))
+
+
+@register("""SELECT page_id, regexp_matches(lower(html), 'add to cart|checkout|shopify|woocommerce') AS has_shop, regexp_matches(lower(html), 'catalogue|catalog|brochure') AS has_catalogue, regexp_matches(lower(html), 'wa\\.me|api\\.whatsapp\\.com') AS has_chat, contains(lower(html), '<form') AS has_form, contains(lower(html), '<script') AS has_script FROM pages""")
+def digital_presence(spark, d):
+    return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in extract.presence(F.col("html")).items()])
+
+
+@register("""SELECT page_id, length(html) < 150 OR regexp_matches(lower(html), 'just a moment|verify you are human|captcha|access denied|enable javascript and cookies|attention required') AS is_challenge FROM pages""")
+def challenge_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", extract.challenge(F.col("html")).alias("is_challenge"))
+
+
+@register("""SELECT c_custkey, list_transform(list_sort(list({'k': o_orderkey, 's': o_orderstatus})), lambda o: o.k || o.s) AS children FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def child_hydrate(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    full = pipeline.hydrate(table(spark, d, "customer").select("c_custkey"), "c_custkey", {"orders": orders}, "o_orderkey").where("orders IS NOT NULL")
+    return full.select("c_custkey", F.transform("orders", lambda o: F.concat(o["o_orderkey"].cast("string"), o["o_orderstatus"])).alias("children"))
+
+
+@register(f"""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 365 DAY)""")
+def fresh_skip(spark, d):
+    seen = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return pipeline.not_fresh(table(spark, d, "customer").select("c_custkey"), seen, "c_custkey", "o_orderdate", _at(ORDERS_AS_OF), 365)
+
+
+@register(f"""SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'P0' WHEN c_acctbal / 10000 >= 0.8 OR c_custkey % 6 = 0 THEN 'P1' WHEN c_custkey % 3 = 0 THEN 'P2' ELSE 'P3' END AS tier FROM customer""")
+def priority_tiers(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", pipeline.priority(k % 20 == 0, F.lit(False), F.col("c_acctbal") / 10000, k % 6 == 0, k % 3 == 0).alias("tier"))
+
+
+@register(f"""SELECT o_orderkey, (epoch(TIMESTAMP '{ORDERS_AS_OF}') - epoch(o_orderdate)) / 86400.0 >= 700 AS is_stale FROM orders""")
+def refresh_candidates(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", pipeline.stale(F.col("o_orderdate"), _at(ORDERS_AS_OF), F.lit(700)).alias("is_stale"))
+
+
+@register("""SELECT event_type AS model, count(*) AS calls, floor(sum(event_id % 1000 / 1e6 * CASE event_type WHEN 'click' THEN 0.5e0 ELSE 0.2e0 END + event_id % 300 / 1e6 * CASE event_type WHEN 'click' THEN 1.5e0 ELSE 0.8e0 END) * 1e4 + 0.5) / 1e4 AS usd FROM events GROUP BY event_type""")
+def cost_rollup(spark, d):
+    price = N.cost(F.col("event_type"), F.col("event_id") % 1000, F.col("event_id") % 300, {"click": (0.5, 1.5)})
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), N.rnd(F.sum(price), 4).alias("usd"))
+
+
+@register("""SELECT user_id, began, last_beat, beats FROM (SELECT user_id, lease, min(ts) AS began, max(ts) AS last_beat, count(*) AS beats FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS lease FROM (SELECT user_id, ts, CASE WHEN floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) <= 7200 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, lease)""")
+def worker_leases(spark, d):
+    return rollups.leases(table(spark, d, "events"), "user_id", "ts", 7200).select("user_id", "began", "last_beat", "beats")
+
+
+@register()
+def circuit_breaker(spark, d):
+    calls = table(spark, d, "events").select("event_id", "event_type", "ts", (F.col("value") > 20).alias("ok"))
+    return pipeline.circuit(calls, "event_type", "ts", "ok")
+
+
+@register("""SELECT n_name, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'an') AND c_acctbal >= 9000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')""")
+def lead_filter(spark, d):
+    rows = table(spark, d, "customer").where((F.col("c_acctbal") >= 9000) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.lower("n_name").contains("an")).select("n_name", "c_custkey", "c_acctbal")
+
+
+@register("""SELECT p.n_name AS customer_nation, s.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation p ON c_nationkey = p.n_nationkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY 1, 2""")
+def relationship_volume(spark, d):
+    nation = table(spark, d, "nation")
+    named = lambda key, name: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
+    pairs = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = pairs.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return pairs.join(named("c_nationkey", "customer_nation"), "c_nationkey").join(named("s_nationkey", "supplier_nation"), "s_nationkey").groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("n"))
