@@ -94,8 +94,19 @@ class Unigrams:
 
 
 def unigrams(counts: DataFrame, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> Unigrams:
+    """Totals, and the tokens with counts from the least one on for which at most ``frequent`` tokens are there.
+
+    The bound is found from a histogram of a few hundred rows, so no task sorts the vocabulary.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    step = F.floor(F.log2("c") * 16)
+    bound, so_far = None, 0
+    for at, n in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        so_far += n
+        if so_far > frequent:
+            break
+        bound = at
+    top = counts.where(step >= bound if bound is not None else F.lit(False)).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     rank = np.lexsort((h, -c))
     symbol = np.full(len(h), -1)
