@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import decontaminate, linededup, mixing, simhash, toxicity
+from vantor.llm import decontaminate, linededup, mixing, shingles, toxicity
 from vantor.llm._store import written
 from vantor.llm.queries import MIX_CAP, MIX_SEED, MIX_WEIGHTS, toxicity_machine
 
@@ -32,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of linked fingerprints stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document, that with the smallest id, of each group linked by five-word shingles of similarity 0.8 or more stays."""
+    return shingles.keep_one(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vantor.llm import _bytes as B
-from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, repeats, simhash, toxicity, urlfilter
+from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, repeats, shingles, simhash, toxicity, urlfilter
 from vantor.llm._xxh import xxh64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -159,6 +159,52 @@ def test_keep_one(spark):
     assert sorted((r.doc_id for r in simhash.keep_one(frame).collect()), key=str) == [1, 3, None]
 
 
+def brute_shingles(text, width=5):
+    w = words(lower(text))
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 700])
+def test_near_copies_of_similarity_80(spark, chunk):
+    r = random.Random(8)
+    rows = []
+    for changes in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12):  # of 300 words: similarities from 0.97 to below 0.8
+        for _ in range(6):
+            w = [f"w{r.randrange(5000)}" for _ in range(300)]
+            x = list(w)
+            for k in r.sample(range(300), changes):
+                x[k] = "changed"
+            rows += [" ".join(w), " ".join(x)]
+    # copies of one text that are similar to it and often not to each other
+    base = [f"v{r.randrange(5000)}" for _ in range(300)]
+    for _ in range(25):
+        x = list(base)
+        for k in r.sample(range(300), 5):
+            x[k] = f"x{r.randrange(5000)}"
+        rows.append(" ".join(x))
+    rows += [" ".join(base), None, "", " \n", "Two Words", "two  words"]
+    sets, root = [brute_shingles(t) for t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 5 * common >= 4 * every:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = sorted({find(i) for i in range(len(rows))})
+    frame = spark.createDataFrame([*enumerate(rows), (None, rows[0])], "doc_id long, text string").repartition(3)
+    got = sorted(x.doc_id for x in shingles.keep_one(frame, chunk=chunk).collect() if x.doc_id is not None)
+    assert got == want and len(want) < len(rows) - 60
+    far = [i for i in range(0, 120, 2) if i + 1 not in got and (brute_simhash(rows[i], 5) ^ brute_simhash(rows[i + 1], 5)).bit_count() > 4]
+    assert len(far) > 10  # those that fingerprints at most four bits apart leave
+    assert shingles.keep_one(frame).where("doc_id IS NULL").count() == 1 and shingles.keep_one(frame.limit(0)).count() == 0
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "x.com", ""), ("allow", "x.com", "/ok/"), ("allow", "same.net", "/a"), ("block", "same.net", "/a")]
 URLS = ["http://a.example.org/es/1", "https://EXAMPLE.org/en/123?x", "http://example.org/en/2", "http://foo.org", "http://foo.org/", "http://b.com/fr/x#y", "http://b.com/de/", "http://b.com/dex", "http://y.x.com/ok/1", "http://y.x.com/no", "http://notx.com/", "http://same.net/abc", None, "", "no scheme", "http://", "http://org:80/", "://org/x", "a://b?c/d", "http://x.com/ok/?://org/"]
 
