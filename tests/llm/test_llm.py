@@ -321,6 +321,11 @@ def test_forward_is_exact_and_training_climbs(spark):
     assert all(b > a - 1e-3 for a, b in zip(course, course[1:], strict=False)) and course[-1] > course[0] + 50
 
 
+def test_training_passes(spark):
+    frame = spark.createDataFrame([([0, 1, 2] * 20,)], "symbols array<int>")
+    assert len(hmm.baum_welch(frame, np.array([0.3, 0.3, 0.4]), 2)[1]) >= 5
+
+
 def test_hmm_scores(docs, rows, none):
     trained = F.col("doc_id") % 3 != 0
     got = {r.doc_id: r for r in hmm.score(docs, trained, frequent=20, symbols=10).collect()}

@@ -15,7 +15,7 @@ from vantor.llm import _bytes as B
 from vantor.llm._store import written
 
 STATES = 8
-ITERATIONS = 4
+ITERATIONS = 5
 #: The most frequent tokens have an emission probability of their own in each state; all others share one symbol.
 SYMBOLS = 1 << 14
 #: Counts of so many frequent tokens are broadcast (12 bytes each); those of all others are joined.
