@@ -154,6 +154,16 @@ def test_links_are_complete(spark):
                     assert label[a] == label[b]
 
 
+def test_chunks_cover_every_bucket():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        keys = np.sort(r.integers(0, 12, 60))
+        cuts = list(simhash._chunks(keys, 8))
+        assert [lo for lo, _ in cuts] == [0, *(hi for _, hi in cuts[:-1])] and cuts[-1][1] == len(keys)
+        assert all(keys[hi - 1] != keys[hi] for _, hi in cuts[:-1])
+    assert not list(simhash._chunks(keys[:0], 8))
+
+
 def test_keep_one(spark):
     frame = spark.createDataFrame([(2, "a b c d e f"), (1, "A b c d e f"), (3, "other words are here now yes"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id for r in simhash.keep_one(frame).collect()), key=str) == [1, 3, None]

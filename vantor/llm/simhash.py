@@ -83,6 +83,15 @@ def _bucket_keys():
     return F.array(*keys)
 
 
+def _chunks(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sorted keys of at least ``most`` rows (the last may have fewer), each of which ends with a bucket."""
+    lo = 0
+    while lo < len(keys):
+        hi = int(np.searchsorted(keys, keys[min(lo + most, len(keys)) - 1], "right"))
+        yield lo, hi
+        lo = hi
+
+
 def _linked(keys: np.ndarray, fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of equal keys (sorted) that join all rows which links of at most ``most_bits`` connect."""
     label, found = np.arange(len(fps)), []
@@ -149,9 +158,7 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET)
         if big.any():
             yield rows(fps[big], fps[big], True)
             keys, fps = keys[~big], fps[~big]
-        for lo in range(0, len(keys), _CHUNK):  # a chunk ends with a bucket
-            lo = int(np.searchsorted(keys, keys[lo], "left")) if lo else 0
-            hi = len(keys) if lo + _CHUNK >= len(keys) else int(np.searchsorted(keys, keys[lo + _CHUNK], "right"))
+        for lo, hi in _chunks(keys, _CHUNK):
             a, b = _linked(keys[lo:hi], fps[lo:hi].view(np.uint64), most_bits)
             if len(a):
                 yield rows(fps[lo:hi][a], fps[lo:hi][b], False)
