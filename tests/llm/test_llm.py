@@ -118,9 +118,9 @@ def brute_simhash(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket", [1024, 1])
-def test_simhash(spark, docs, rows, none, bucket):
-    got = simhash.near_duplicates(docs, 4, bucket=bucket).collect()
+@pytest.mark.parametrize(("bucket", "small"), [(1 << 20, 1024), (1 << 20, 8), (8, 8)])
+def test_simhash(spark, docs, rows, none, bucket, small):
+    got = simhash.near_duplicates(docs.withColumn("fp", F.lit("x")).withColumn("_root", F.lit(1)), 4, bucket=bucket, small=small).collect()
     fp = {r[0]: brute_simhash(r[1], 4) for r in rows}
     root = {i: i for i in fp}
 
@@ -145,8 +145,8 @@ def test_links_are_complete(spark):
     fps = {b for x in base for b in [x, *(x ^ sum(1 << p for p in r.sample(range(64), k)) for k in (1, 2, 3, 4, 5, 6))]}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for bucket in (1024, 2):
-        found = simhash.components(simhash.links(frame, bucket=bucket)).collect()
+    for bucket, small in ((1 << 20, 1024), (1 << 20, 4), (4, 4)):
+        found = simhash.components(simhash.links(frame, bucket=bucket, small=small)).collect()
         label = {r.node & (1 << 64) - 1: r.root for r in found}
         for a in fps:
             for b in fps:
@@ -154,6 +154,28 @@ def test_links_are_complete(spark):
                     assert label[a] == label[b]
 
 
+def test_links_of_a_bucket_are_a_forest():
+    r = random.Random(9)
+    for n, flips, small in ((300, 1, 1024), (300, 2, 64), (1500, 2, 64), (400, 9, 8)):
+        base = r.getrandbits(64)
+        fps = np.array(sorted({base ^ sum(1 << p for p in r.sample(range(64), r.randint(0, flips))) for _ in range(n)}), np.uint64)
+        keys = np.zeros(len(fps), np.int64)
+        a, b = simhash._linked(keys, fps, 4, small)
+        assert len(a) <= len(fps) - 1
+        label = {int(f): int(f) for f in fps}
+
+        def find(x, label=label):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            assert (x ^ y).bit_count() <= 4 and find(x) != find(y)
+            label[find(x)] = find(y)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+        assert all(find(int(fps[i])) == find(int(fps[k])) for i, k in zip(*np.nonzero(near), strict=True))
+
+
 def test_chunks_cover_every_bucket():
     r = np.random.default_rng(2)
     for _ in range(50):

@@ -17,8 +17,10 @@ BITS = 64
 #: Cuts of the fingerprint: of three segments, one differs by at most one bit if all of it differs by at most four.
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 MOST_BITS = 4
-#: A bucket of more fingerprints than this is linked through balls around its fingerprints, not by comparing its members.
-BUCKET = 1024
+#: A task holds buckets of up to so many fingerprints (of 16 bytes).
+BUCKET = 1 << 20
+#: Buckets of up to so many fingerprints are compared pair by pair.
+SMALL = 1024
 _CHUNK = 1 << 16
 
 
@@ -83,6 +85,25 @@ def _bucket_keys():
     return F.array(*keys)
 
 
+def _inner_keys(fp, outer):
+    """Keys for the rows of one bucket: the bucket's, with one-wildcard segments of the bits that its members may differ in.
+
+    Members of a bucket differ in at most one bit of its segment, so of three cuts of the other bits one differs by at most one
+    bit if all differ by at most four.
+    """
+    keys = []
+    for low, high in SEGMENTS:
+        others = [p for p in range(BITS) if not low <= p < high]
+        within = (F.shiftright(outer, 22) >= low) & (F.shiftright(outer, 22) < high)
+        inner = []
+        for part in np.array_split(np.array(others), len(SEGMENTS)):
+            for p in part.tolist():
+                mask = sum(1 << k for k in part.tolist() if k != p)
+                inner.append(F.xxhash64(outer, F.lit(p), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+        keys.append(F.when(within, F.array(*inner)))
+    return F.coalesce(*keys)
+
+
 def _chunks(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Stretches of sorted keys of at least ``most`` rows (the last may have fewer), each of which ends with a bucket."""
     lo = 0
@@ -92,80 +113,153 @@ def _chunks(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _linked(keys: np.ndarray, fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal keys (sorted) that join all rows which links of at most ``most_bits`` connect."""
-    label, found = np.arange(len(fps)), []
-    live, d = np.arange(len(fps)), 1
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the sets of a[i] and b[i] for every i; the numbers of the pairs that joined two sets, which form a forest.
+
+    ``label`` has the smallest member of every member's set, before and after. Each round hooks the larger roots of the pairs
+    that are still apart, each by one pair and to a smaller root, so there is no circle, and then shortens all ways to one step.
+    """
+    left, picked = np.arange(len(a)), []
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate(picked) if picked else left
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        label[high] = np.minimum(x, y)[first]
+        picked.append(left[first])
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                break
+            label[:] = further
+
+
+def _compared(keys: np.ndarray, who: np.ndarray, fps: np.ndarray, label: np.ndarray, most_bits: int, found: list) -> None:
+    """Compares all rows of equal keys (sorted) that aren't in one set yet; adds the links (of ``who``) that join two sets."""
+    live, d, checked = np.arange(len(fps)), 1, 2
     while True:
         live = live[live + d < len(fps)]
         live = live[keys[live] == keys[live + d]]
         if not len(live):
-            break
+            return
         near = live[np.bitwise_count(fps[live] ^ fps[live + d]) <= most_bits]
-        near = near[label[near] != label[near + d]]
         if len(near):
-            found.append(np.stack([near, near + d]))
-            low = np.minimum(label[near], label[near + d])
-            np.minimum.at(label, near, low)
-            np.minimum.at(label, near + d, low)
+            near = near[_join(label, who[near], who[near + d])]
+            found.append(np.stack([who[near], who[near + d]]))
         d += 1
+        if d == checked:  # buckets that are in one piece need no more comparisons
+            checked *= 2
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            mine = label[who]
+            whole = np.minimum.reduceat(mine, edge) == np.maximum.reduceat(mine, edge)
+            live = live[~np.repeat(whole, np.diff(np.append(edge, len(keys))))[live]]
+
+
+def _split(who: np.ndarray, fps: np.ndarray, label: np.ndarray, most_bits: int, found: list, small: int) -> None:
+    """Links the rows of one bucket: a large one by one-wildcard segments of the bits in which its rows differ, in turn."""
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [k for k in range(BITS) if differ >> k & 1]
+    if len(fps) <= small or len(places) < 2 * len(SEGMENTS):
+        _compared(np.zeros(len(fps), np.int8), who, fps, label, most_bits, found)
+        return
+    for part in np.array_split(np.array(places), len(SEGMENTS)):
+        for p in part.tolist():
+            if (label[who] == label[who[0]]).all():
+                return
+            mask = sum(1 << k for k in part.tolist() if k != p)
+            keys = fps & np.uint64(mask)
+            order = np.argsort(keys, kind="stable")
+            k, w, f = keys[order], who[order], fps[order]
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(edge, len(k)))
+            few = np.repeat(size <= small, size)
+            _compared(k[few], w[few], f[few], label, most_bits, found)
+            for at, n in zip(edge[size > small].tolist(), size[size > small].tolist(), strict=True):
+                _split(w[at : at + n], f[at : at + n], label, most_bits, found, small)
+
+
+def _linked(keys: np.ndarray, fps: np.ndarray, most_bits: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal keys (sorted) that join all rows which links of at most ``most_bits`` connect.
+
+    Together they are a forest: fewer links than there are different fingerprints, however many pairs are near.
+    """
+    one, who = np.unique(fps, return_inverse=True)
+    label, found = np.arange(len(one)), []
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    size = np.diff(np.append(edge, len(keys)))
+    few = np.repeat(size <= small, size)
+    _compared(keys[few], who[few], fps[few], label, most_bits, found)
+    for at, n in zip(edge[size > small].tolist(), size[size > small].tolist(), strict=True):
+        _split(who[at : at + n], fps[at : at + n], label, most_bits, found, small)
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return a, b
+    return one[a], one[b]
 
 
-def links(distinct: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET) -> DataFrame:
+def links(distinct: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
     """Pairs ``a > b`` of fingerprints (column ``fp`` of ``distinct``) at most ``most_bits`` apart, enough to connect all that such pairs connect.
 
     Each fingerprint is indexed under its 64 one-wildcard segments; buckets of equal keys are sorted together and verified
-    inside. Rows of one bucket beyond ``bucket`` are not compared: their fingerprints go to :func:`balls`.
+    inside: all pairs of buckets of up to ``small`` rows; larger ones are cut by one-wildcard segments of the other bits. Rows
+    of a bucket beyond ``bucket``, which no task shall hold, are dealt again by key and segments of the other bits; what is
+    still beyond it goes to :func:`balls`.
     """
     if most_bits > MOST_BITS:
         raise ValueError(f"three segments find up to {MOST_BITS} differing bits")
-    indexed = distinct.select("fp", F.explode(_bucket_keys()).alias("key")).repartition(F.col("key")).sortWithinPartitions("key", "fp")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(indexed: DataFrame) -> DataFrame:
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held_k, held_f, dense_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+            for batch in batches:
+                keys = np.concatenate([held_k, batch.column(1).to_numpy()])
+                fps = np.concatenate([held_f, batch.column(0).to_numpy()])
+                if dense_key is not None:  # more of a bucket that is already known to be dense
+                    n = int(np.searchsorted(keys, dense_key, "right"))
+                    if n:
+                        yield rows(fps[:n], keys[:n], True)
+                    keys, fps = keys[n:], fps[n:]
+                if not len(keys):
+                    held_k, held_f = keys, fps
+                    continue
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                yield from whole(keys[:cut], fps[:cut])
+                held_k, held_f = keys[cut:], fps[cut:]
+                dense_key = None
+                if len(held_k) > bucket:
+                    dense_key = held_k[-1]
+                    yield rows(held_f, held_k, True)
+                    held_k, held_f = held_k[:0], held_f[:0]
+            yield from whole(held_k, held_f)
+
         def rows(a, b, dense):
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
-
-        held_k, held_f, dense_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in batches:
-            keys = np.concatenate([held_k, batch.column(1).to_numpy()])
-            fps = np.concatenate([held_f, batch.column(0).to_numpy()])
-            if dense_key is not None:  # more of a bucket that is already known to be dense
-                n = int(np.searchsorted(keys, dense_key, "right"))
-                if n:
-                    yield rows(fps[:n], fps[:n], True)
-                keys, fps = keys[n:], fps[n:]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
+
+        def whole(keys, fps):
             if not len(keys):
-                held_k, held_f = keys, fps
-                continue
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            yield from whole(keys[:cut], fps[:cut], rows)
-            held_k, held_f = keys[cut:], fps[cut:]
-            dense_key = None
-            if len(held_k) > bucket:
-                dense_key = held_k[-1]
-                yield rows(held_f, held_f, True)
-                held_k, held_f = held_k[:0], held_f[:0]
-        yield from whole(held_k, held_f, rows)
-
-    def whole(keys, fps, rows):
-        if not len(keys):
-            return
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(edge, len(keys)))
-        big = np.repeat(size > bucket, size)
-        if big.any():
-            yield rows(fps[big], fps[big], True)
-            keys, fps = keys[~big], fps[~big]
-        for lo, hi in _chunks(keys, _CHUNK):
-            a, b = _linked(keys[lo:hi], fps[lo:hi].view(np.uint64), most_bits)
-            if len(a):
-                yield rows(fps[lo:hi][a], fps[lo:hi][b], False)
-
-    found = Table(indexed.mapInArrow(verify, "a long, b long, dense boolean").distinct(), "simhash-links").df
-    dense = found.where("dense").select(F.col("a").alias("fp"))
+                return
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(edge, len(keys)))
+            big = np.repeat(size > bucket, size)
+            if big.any():
+                yield rows(fps[big], keys[big], True)
+                keys, fps = keys[~big], fps[~big]
+            for lo, hi in _chunks(keys, _CHUNK):
+                a, b = (x.view(np.int64) for x in _linked(keys[lo:hi], fps[lo:hi].view(np.uint64), most_bits, small))
+                if len(a):
+                    yield rows(np.maximum(a, b), np.minimum(a, b), False)
+
+        return indexed.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long, dense boolean")
+
+    found = Table(verified(distinct.select("fp", F.explode(_bucket_keys()).alias("key"))).distinct(), "simhash-links").df
     pairs = found.where("NOT dense").select("a", "b")
+    if not found.where("dense").limit(1).count():
+        return pairs
+    # for rows of dense buckets, ``b`` is the bucket's key
+    again = found.where("dense").select(F.col("a").alias("fp"), F.explode(_inner_keys(F.col("a"), F.col("b"))).alias("key"))
+    inner = Table(verified(again).distinct(), "simhash-links").df
+    pairs = pairs.unionByName(inner.where("NOT dense").select("a", "b"))
+    dense = inner.where("dense").select(F.col("a").alias("fp")).distinct()
     return pairs.unionByName(balls(dense, most_bits)) if dense.limit(1).count() else pairs
 
 
@@ -212,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
     """The kept columns of ``docs`` with ``fp``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Fingerprints that differ in at most ``most_bits`` bits are linked; ``component_id`` is the smallest id that a document
@@ -224,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, most_bits: int = MOST_BITS,
     names = [c for c in (keep or docs.columns) if c not in made]
     marked = written(fingerprints(docs, width, text_col, tuple(dict.fromkeys([*names, id_col]))), "simhash")
     distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("_least")), "simhash-distinct")
-    roots = written(components(links(distinct.select("fp"), most_bits, bucket)), "simhash-roots")
+    roots = written(components(links(distinct.select("fp"), most_bits, bucket, small)), "simhash-roots")
     known = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     least = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
     labels = known.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
