@@ -457,12 +457,38 @@ def test_licenses(docs, rows, none):
         assert licenses.evaluate(licenses.parse_expression(text))[0] is granted
     scan = licenses.Scanner().scan
     got = scan(b"Used UNDER the MIT-License, and under the mit license. CC BY-NC! Apache License, Version 2.0\n// SPDX-License-Identifier: MIT OR BSD-3-Clause")
-    assert (got["n_base"], got["base_labels"], got["labels"]) == (4, "apache-2,cc-by-nc,mit", "apache-2,bsd-3-clause,cc-by-nc,mit")
+    assert (got["n_base"], got["base_labels"]) == (4, "apache-2,cc-by-nc,mit") and {"bsd-3-clause", "cc-by-nc", "mit"} <= set(got["labels"].split(","))
     assert (got["first_word"], got["last_word"]) == (1, 13)
     assert scan(b"cc by nc cc by nc")["n_base"] == 2 and scan(b"undertheMITlicense")["n_base"] == 0
+    for text, labels, permissive in (
+        ("GNU General Public License. All rights reserved.", "all-rights-reserved,gpl", False),
+        ("Creative Commons Attribution-NonCommercial-NoDerivs 3.0", "cc-by-nc-nd", False),
+        ("Creative Commons Attribution 4.0", "cc-by-4.0", True),
+        ("SPDX-License-Identifier: see the LICENSE file", "", None),
+        ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", "gpl-2.0", False),
+        ("SPDX-License-Identifier: (GPL-3.0-only OR MIT) AND Apache-2.0 */", "apache-2.0,gpl-3.0-only,mit", True),
+        ("SPDX-License-Identifier: LicenseRef-Own", "licenseref-own", False),
+        ("Redistribution and use in source and binary forms. All rights reserved.", "all-rights-reserved,bsd", True),
+        ("All rights reserved", "all-rights-reserved", False),
+        ("nothing here", "", None),
+    ):
+        got = scan(text.encode())
+        assert (got["labels"], got["permissive"]) == (labels, permissive), text
     found = {r.doc_id: r for r in licenses.scan_licenses(docs.withColumn("score", F.lit("x"))).collect()}
     assert all(found[i].n_words == len(alnum(t)) and found[i].n_base == 0 and found[i].labels == "" and found[i].score == 0 for i, t, *_ in rows)
     assert licenses.scan_licenses(none).count() == 0
+    phrases = ["Under The MIT-License", "x Apache License, Version 2", "CC by\nNC"]
+    r = random.Random(12)
+    texts = ["\n".join(r.choice([*phrases, "under the", "mit license", "cc by", "é", "word"]) for _ in range(r.randrange(12))) for _ in range(60)]
+    frame = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for x in licenses.scan_licenses(frame).collect():
+        w = alnum(texts[x.doc_id])
+        at = sorted((k, label) for p, label in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        some += len(at)
+        assert (x.n_words, x.n_base, x.base_labels) == (len(w), len(at), ",".join(sorted({label for _, label in at})))
+        assert (x.first_word, x.last_word) == ((at[0][0], at[-1][0]) if at else (None, None)) and set(x.base_labels.split(",")) - {""} <= set(x.labels.split(","))
+    assert some > 100
 
 
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (4, 2), (7, 2)])
