@@ -11,18 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm import _bytes as B
+from vantor.llm._store import written
 
 #: Terms are hashed to 2 ** BITS places.
 BITS = 18
 RANK = 4
 #: Bytes of the stems that are terms besides whole words.
 STEMS = (4, 6)
-#: The machine is fitted on at most this many labelled documents, those with the smallest hash of their id.
+#: The machine is fitted on at most this many labelled documents, those with the smallest hash of their id, and on fewer where
+#: they have more than ``TRAIN_TERMS`` terms together.
 TRAIN_ROWS = 16_000
-#: Terms of fewer training documents are left out.
-MIN_DOCUMENTS = 4
-#: As many terms, of those that tell the classes apart best, have parameters.
-MOST_TERMS = 1024
+TRAIN_TERMS = 1 << 24
+EPOCHS = 12
+#: Standard errors from which on a term counts as telling the classes apart.
+LUCK = 3.0
 
 
 def terms(text: B.Text, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +55,6 @@ class FactorizationMachine:
 
     def raw(self, owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         out = self.bias + np.bincount(owner, self.linear[term], n)
-        live = np.flatnonzero(np.any(self.factors[term] != 0, axis=1))
-        owner, term = owner[live], term[live]
         for f in range(self.factors.shape[1]):
             v = self.factors[term, f]
             out += 0.5 * (np.bincount(owner, v, n) ** 2 - np.bincount(owner, v * v, n))
@@ -64,53 +64,53 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(owner, term, n), -35, 35)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int = RANK, epochs: int = 30, rate: float = 0.1, decay: float = 0.3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
-    """Minimises the logistic loss by AdaGrad over shuffled batches; classes are weighed equally."""
+def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int = RANK, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 0.3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
+    """Minimises the logistic loss by AdaGrad over shuffled batches; classes are weighed equally.
+
+    Every place has parameters. A term's steps shrink with the chance that it tells the classes apart by luck alone: those of
+    a term in few documents, or in as many of both classes as all terms are, stay near zero.
+    """
     size = 1 << bits
-    machine = FactorizationMachine(0.0, np.zeros(size), np.zeros((size, rank)))
+    machine = FactorizationMachine(0.0, np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
     if not len(sets):
         return machine
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    begin = np.cumsum([0, *(len(s) for s in sets)])
     seen, marked = np.bincount(flat, minlength=size), np.bincount(flat, labels[owner], size)
-    # terms whose share of labelled documents differs most from the overall share, in standard errors
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    pull = np.abs(marked - share * seen) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    pull[seen < MIN_DOCUMENTS] = 0
-    used = np.sort(np.argsort(-pull, kind="stable")[:MOST_TERMS])
-    used = used[pull[used] > 0]
-    number = np.full(size, -1)
-    number[used] = np.arange(len(used))
-    sets = [number[s][number[s] >= 0] for s in sets]
+    # the difference of a term's share of labelled documents from the overall share, in standard errors
+    pull = np.abs(marked - share * seen) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9) + 1.0)
+    trust = (1 / (1 + np.exp(-2 * (pull - LUCK)))).astype(np.float32)
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), rank)), 0.0
-    gw, gv, gb = np.full(len(used), 1e-6), np.full((len(used), rank), 1e-6), 1e-6
+    w, v, bias = np.zeros(size, np.float32), rng.normal(0, 0.01, (size, rank)).astype(np.float32) * trust[:, None], 0.0
+    gw, gv, gb = np.full(size, 1e-6, np.float32), np.full((size, rank), 1e-6, np.float32), 1e-6
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(epochs if len(used) else 0):
+    for _ in range(epochs):
         order = rng.permutation(len(sets))
         for at in range(0, len(order), batch):
             who = order[at : at + batch]
-            length = np.array([len(sets[i]) for i in who])
-            term = np.concatenate([sets[i] for i in who])
-            owner = np.repeat(np.arange(len(who)), length)
+            length = begin[who + 1] - begin[who]
+            term = flat[np.repeat(begin[who], length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
+            mine = np.repeat(np.arange(len(who)), length)
             here, local = np.unique(term, return_inverse=True)
             vt = v[term]
-            sums = np.stack([np.bincount(owner, vt[:, f], len(who)) for f in range(rank)], 1)
-            squares = np.stack([np.bincount(owner, vt[:, f] ** 2, len(who)) for f in range(rank)], 1)
-            raw = bias + np.bincount(owner, w[term], len(who)) + 0.5 * (sums**2 - squares).sum(1)
+            sums = np.stack([np.bincount(mine, vt[:, f], len(who)) for f in range(rank)], 1)
+            squares = np.bincount(mine, (vt * vt).sum(1), len(who))
+            raw = bias + np.bincount(mine, w[term], len(who)) + 0.5 * ((sums**2).sum(1) - squares)
             error = weight[who] * (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[who]) / len(who)
-            e = error[owner]
+            e = error[mine]
+            t = trust[here]
             d = np.bincount(local, e, len(here)) + decay * w[here] / len(who)
             gw[here] += d * d
-            w[here] -= rate * d / np.sqrt(gw[here])
+            w[here] -= rate * t * d / np.sqrt(gw[here])
             for f in range(rank):
-                d = np.bincount(local, e * (sums[owner, f] - vt[:, f]), len(here)) + decay * v[here, f] / len(who)
+                d = np.bincount(local, e * (sums[mine, f] - vt[:, f]), len(here)) + decay * v[here, f] / len(who)
                 gv[here, f] += d * d
-                v[here, f] -= 0.2 * rate * d / np.sqrt(gv[here, f])
+                v[here, f] -= 0.2 * rate * t * d / np.sqrt(gv[here, f])
             d = error.sum()
             gb += d * d
             bias -= rate * d / np.sqrt(gb)
-    machine.bias, machine.linear[used], machine.factors[used] = float(bias), w, v
-    return machine
+    return FactorizationMachine(float(bias), w, v)
 
 
 def bucket_of(id_col: Column, buckets: int) -> Column:
@@ -121,7 +121,8 @@ def bucket_of(id_col: Column, buckets: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> FactorizationMachine:
     """The machine fitted on the labelled documents, of which ``rows`` at most are read (the smallest hashes of their ids).
 
-    Rows without id or label are left out. The sample's hashed terms are what the driver gets.
+    Rows without id or label are left out. The sample's hashed terms are what the driver gets: of the documents in the order of
+    their hashes, as many as have ``TRAIN_TERMS`` terms together.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(id_col, F.col(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "_label").limit(rows)
@@ -132,8 +133,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32)))], ["id", "label", "terms"])
 
-    joined = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col("_label").alias("label"), text_col)
-    sample = joined.mapInArrow(extract, "id string, label int, terms array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    joined = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("id"), F.col("_label").alias("label"), text_col)
+    extracted = written(joined.mapInArrow(extract, "id long, label int, terms array<int>"), "toxicity-sample")
+    # the smallest hashes whose sizes fit, from 256 sums
+    step = F.shiftright("id", 56)
+    upto, bound = 0, None
+    for at, n in sorted((r[0], r[1]) for r in extracted.groupBy(step.alias("step")).agg(F.sum(F.size("terms"))).collect()):
+        upto += n
+        if upto > TRAIN_TERMS:
+            break
+        bound = at
+    sample = extracted.where(step <= bound if bound is not None else F.lit(False)).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     lists = sample.column("terms").combine_chunks()
     if not sample.num_rows:
         return fit([], np.zeros(0))
