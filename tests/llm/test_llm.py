@@ -349,7 +349,7 @@ def test_forward_is_exact_and_training_climbs(spark):
     # alternating symbols are a chain that two states learn
     rows = [([k % 2, 2, 1 - k % 2] * 20,) for k in range(40)]
     frame = spark.createDataFrame(rows, "symbols array<int>")
-    _, course = hmm.baum_welch(frame, np.array([0.33, 0.33, 0.34]), 3, 6)
+    _, course = hmm.baum_welch(frame, np.array([0.33, 0.33, 0.34]), 3, 6, 6)
     assert all(b > a - 1e-3 for a, b in zip(course, course[1:], strict=False)) and course[-1] > course[0] + 50
 
 
@@ -358,17 +358,32 @@ def test_training_passes(spark):
     assert len(hmm.baum_welch(frame, np.array([0.3, 0.3, 0.4]), 2)[1]) >= 5
 
 
-def test_hmm_scores(docs, rows, none):
+def test_hmm_scores(spark, docs, rows, none, monkeypatch):
     trained = F.col("doc_id") % 3 != 0
-    got = {r.doc_id: r for r in hmm.score(docs, trained, frequent=20, symbols=10).collect()}
+    kept = {}
+    for name in ("baum_welch", "emissions"):
+        monkeypatch.setattr(hmm, name, lambda *a, name=name, f=getattr(hmm, name): kept.setdefault(name, f(*a)))
+    got = {r.doc_id: r for r in hmm.score(docs.withColumn("n_known", F.lit("x")), trained, frequent=20, symbols=10).collect()}
+    model, (table, unknown) = kept["baum_welch"][0], kept["emissions"]
+    emit = {r.h: np.array(r.e, float) for r in table.collect()}
+    hash_of = lambda w: 0 if w is None else int(B.signed(B.Text(pa.array([w])).hashes(np.array([0]), np.array([len(w.encode())])))[0])
     tokens = {i: [*words(lower(t)), None] for i, t, *_ in rows}
     count = Counter(w for i, *_ in rows if i % 3 for w in tokens[i])
     n, v = sum(count.values()), len(count)
+    assert len(emit) == v > 100
+    # every state's probabilities of all tokens and an unknown one sum to one
+    assert sum((c + 1) / (n + v + 1) * emit[hash_of(w)] for w, c in count.items()) + unknown / (n + v + 1) == pytest.approx(np.ones(hmm.STATES), abs=1e-4)
     for i, *_ in rows:
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens[i])
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        gain, alpha = 0.0, None
+        for w in tokens[i]:
+            alpha = (model.start if alpha is None else alpha @ model.move) * (emit[hash_of(w)] if count[w] else unknown)
+            gain += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(base + gain, rel=1e-5)
+    monkeypatch.undo()
     assert hmm.score(none, F.lit(True)).count() == 0
     assert hmm.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 

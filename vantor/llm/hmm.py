@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,21 @@ from vantor.llm import _bytes as B
 from vantor.llm._store import written
 
 STATES = 8
-ITERATIONS = 5
-#: The most frequent tokens have an emission probability of their own in each state; all others share one symbol.
+#: Baum-Welch makes at least and at most so many passes; between, it stops when a pass gains less than TOLERANCE a token (log10).
+LEAST_PASSES, MOST_PASSES, TOLERANCE = 5, 8, 0.002
+#: While the states are learnt, so many of the most frequent tokens have emissions of their own and all others share one. The
+#: last pass then gives every token of the vocabulary its own.
 SYMBOLS = 1 << 14
-#: Counts of so many frequent tokens are broadcast (12 bytes each); those of all others are joined.
+#: Counts and emissions of so many frequent tokens are broadcast (44 bytes each); those of all others are joined.
 FREQUENT = 1 << 18
+#: How many occurrences of the average token a token's own occurrences are weighed against when its states are estimated.
+PRIOR = 2.0
 #: Tokens that a task puts through the model at once.
 GROUP = 3 << 19
 END = np.uint64(0)
 _PART = 1 << 10
+#: Tokens whose expected counts a task holds.
+_HELD = 1 << 19
 
 
 def tokens(text: B.Text) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +70,17 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Unigrams:
-    """Totals of the training tokens, and the counts of the frequent ones sorted by hash."""
+    """Totals of the training tokens, and the counts of the frequent ones sorted by hash; ``symbols`` numbers them by falling count.
+
+    The first ``own`` symbols have emissions of their own while the states are learnt.
+    """
 
     total: int
     distinct: int
     hashes: np.ndarray
     counts: np.ndarray
     symbols: np.ndarray
+    own: int
 
     @property
     def denominator(self) -> float:
@@ -84,12 +94,11 @@ class Unigrams:
         return np.where(self.hashes[at] == h, at, -1)
 
     def symbol_shares(self) -> np.ndarray:
-        """The probability of each symbol; the last is that of all other tokens, unknown ones included."""
-        n = int(self.symbols.max(initial=-1)) + 1
-        shares = np.zeros(n + 1)
-        own = self.symbols >= 0
-        shares[self.symbols[own]] = (self.counts[own] + 1) / self.denominator
-        shares[n] = max(1.0 - shares.sum(), 1.0 / self.denominator)
+        """The probability of each symbol with an emission of its own; the last is that of all other tokens, unknown ones included."""
+        shares = np.zeros(self.own + 1)
+        mine = self.symbols < self.own
+        shares[self.symbols[mine]] = (self.counts[mine] + 1) / self.denominator
+        shares[self.own] = max(1.0 - shares.sum(), 1.0 / self.denominator)
         return shares
 
 
@@ -109,10 +118,10 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT, symbols: int = SYMBOLS
     top = counts.where(step >= bound if bound is not None else F.lit(False)).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     rank = np.lexsort((h, -c))
-    symbol = np.full(len(h), -1)
-    symbol[rank[:symbols]] = np.arange(min(symbols, len(h)))
+    symbol = np.empty(len(h), np.int64)
+    symbol[rank] = np.arange(len(h))
     order = np.argsort(h)
-    return Unigrams(int(total), int(distinct), h[order], c[order].astype(np.int64), symbol[order])
+    return Unigrams(int(total), int(distinct), h[order], c[order].astype(np.int64), symbol[order], min(symbols, len(h)))
 
 
 @dataclass
@@ -158,19 +167,21 @@ class HiddenMarkov:
         found[order] = out
         return (found, order, at, live, alphas, scales) if keep else found
 
-    def expect(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood and expected counts of starts, moves and emissions."""
+    def expect(self, symbols: np.ndarray, lengths: np.ndarray, cells: np.ndarray | None = None, n_cells: int = 0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood and expected counts of starts, moves and emissions; those of emissions by the tokens' ``cells`` if given, else by symbol."""
+        if cells is None:
+            cells, n_cells = symbols, len(self.shares)
         half = HiddenMarkov(*(v.astype(np.float32) for v in (self.start, self.move, self.emit)), self.shares)
         found, _, at, live, alphas, scales = half.forward(symbols, lengths, keep=True)
         states = len(self.start)
-        moves, emits, starts = np.zeros((states, states)), np.zeros_like(self.emit), np.zeros(states)
+        moves, emits, starts = np.zeros((states, states)), np.zeros((n_cells, states)), np.zeros(states)
         gammas, places, waiting = [], [], 0
         beta = np.ones((0, states), np.float32)
 
         def add():
             gamma, place = np.concatenate(gammas), np.concatenate(places)
             for k in range(states):
-                emits[:, k] += np.bincount(place, gamma[:, k], len(self.shares))
+                emits[:, k] += np.bincount(place, gamma[:, k], n_cells)
 
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
@@ -183,7 +194,7 @@ class HiddenMarkov:
                 here[:m] = ahead @ half.move.T
             beta = here
             gammas.append(alpha * beta)
-            places.append(symbols[at[:n] + t])
+            places.append(cells[at[:n] + t])
             alphas[t] = None
             waiting += n
             if t == 0:
@@ -202,32 +213,44 @@ class HiddenMarkov:
         return HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit, self.shares)
 
 
+def _hashes(spark: SparkSession, known: Unigrams) -> DataFrame:
+    """``h, symbol`` of the frequent tokens."""
+    return spark.createDataFrame(pa.table({"h": pa.array(B.signed(known.hashes)), "symbol": pa.array(known.symbols.astype(np.int32))}))
+
+
 def encode(docs: DataFrame, known: Unigrams, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text but with ``row`` (a number of the row), its symbols, sums over its frequent tokens, and its other tokens with their counts."""
+    """``docs`` without the text but with ``row`` (a number of the row), its symbols, sums over its frequent tokens, and its other tokens with their counts.
+
+    A symbol of -1 - k stands for the row's k-th other token.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     names = [c for c in numbered.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = shared.value
-        other = int(uni.symbols.max(initial=-1)) + 1
         logs = np.log10((uni.counts + 1) / uni.denominator)
         for batch in B.slices(batches, text_col):
             text = B.Text(batch.column(batch.schema.get_field_index(text_col)))
             who, h = tokens(text)
             place = uni.find(h)
             seen = place >= 0
-            symbol = np.full(len(h), other, np.int32)
-            own = uni.symbols[place[seen]] if seen.any() else np.zeros(0, np.int64)
-            symbol[seen] = np.where(own >= 0, own, other)
+            symbol = np.empty(len(h), np.int32)
+            if seen.any():
+                symbol[seen] = uni.symbols[place[seen]]
             n = np.bincount(who, minlength=text.n)
             sums = np.bincount(who[seen], logs[place[seen]] if seen.any() else None, text.n)
             rare_who, rare = who[~seen], h[~seen]
             order = np.lexsort((rare, rare_who))
             rare_who, rare = rare_who[order], rare[order]
-            edge = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_who[1:] != rare_who[:-1])])[: len(rare)])
+            fresh = np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_who[1:] != rare_who[:-1])])[: len(rare)]
+            edge = np.flatnonzero(fresh)
             times = np.diff(np.append(edge, len(rare))).astype(np.int32)
-            cut = pa.array(np.searchsorted(rare_who[edge], np.arange(text.n + 1)).astype(np.int32))
+            begin = np.searchsorted(rare_who[edge], np.arange(text.n + 1))
+            number = np.empty(len(rare), np.int64)
+            number[order] = np.cumsum(fresh) - 1 - begin[rare_who]
+            symbol[~seen] = -1 - number
+            cut = pa.array(begin.astype(np.int32))
             arrays = [
                 pa.array(n), pa.array(np.bincount(who[seen], minlength=text.n)), pa.array(sums.astype(np.float64)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(symbol)),
@@ -265,19 +288,24 @@ def _joined(held: list[pa.RecordBatch], column: int):
     return np.concatenate([p.flatten().to_numpy() for p in parts]), np.concatenate([p.value_lengths().to_numpy() for p in parts]).astype(np.int64), held
 
 
-def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> tuple[HiddenMarkov, list[float]]:
-    """The model after some iterations over all ``symbols``, and the log10 likelihoods (relative to the shares) before each.
+def _core(symbols: np.ndarray, own: int) -> np.ndarray:
+    """Symbols with those that have no emissions of their own yet as one."""
+    return np.where((symbols < 0) | (symbols >= own), own, symbols)
+
+
+def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, least: int = LEAST_PASSES, most: int = MOST_PASSES, tolerance: float = TOLERANCE) -> tuple[HiddenMarkov, list[float]]:
+    """The model after some passes over all ``symbols``, and the log10 likelihoods (relative to the shares) before each.
 
     Tasks send their expected counts in parts of fixed size, which are summed by part; the driver gets one model's worth.
     """
-    spark, model, course = encoded.sparkSession, HiddenMarkov.fresh(shares, states), []
-    for _ in range(iterations):
+    spark, model, course, own = encoded.sparkSession, HiddenMarkov.fresh(shares, states), [], len(shares) - 1
+    for _ in range(most):
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
             for symbols, lengths, _ in _groups(batches, 0):
-                log, starts, moves, emits = shared.value.expect(symbols, lengths)
+                log, starts, moves, emits = shared.value.expect(_core(symbols, own), lengths)
                 flat = np.concatenate([[log], starts, moves.ravel(), emits.ravel()])
                 total = flat if total is None else total + flat
             if total is not None:
@@ -302,18 +330,76 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, ite
         course.append(float(flat[0]))
         starts, moves, emits = np.split(flat[1:], [states, states + states * states])
         model = model.updated(starts, moves.reshape(states, states), emits.reshape(-1, states))
+        if len(course) >= max(least, 2) and course[-1] - course[-2] < tolerance * emits.sum():
+            break
     return model, course
 
 
-def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple[str, ...] | None = None, states: int = STATES, iterations: int = ITERATIONS, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
+def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> DataFrame:
+    """``h, g``: the expected counts of every training token in each state, from one more pass; summed in the tasks before they are shuffled."""
+    spark, own, states = encoded.sparkSession, len(model.shares) - 1, len(model.start)
+    by_symbol = np.empty(len(known.hashes), np.uint64)
+    by_symbol[known.symbols] = known.hashes
+    shared = spark.sparkContext.broadcast((model, by_symbol))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, by_symbol = shared.value
+        held_h, held_g = np.zeros(0, np.uint64), np.zeros((0, states))
+
+        def give(h, g):
+            cut = pa.array(np.arange(0, len(h) * states + 1, states, dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(B.signed(h)), pa.ListArray.from_arrays(cut, pa.array(g.astype(np.float32).ravel()))], ["h", "g"])
+
+        for symbols, lengths, held in _groups(batches, 0):
+            others = [b.column(1) for b in held]
+            sizes = np.concatenate([x.value_lengths().to_numpy() for x in others]).astype(np.int64)
+            rare = np.concatenate([x.flatten().to_numpy() for x in others]).view(np.uint64)
+            h = np.empty(len(symbols), np.uint64)
+            common = symbols >= 0
+            h[common] = by_symbol[symbols[common]]
+            base = np.repeat(np.cumsum(sizes) - sizes, lengths)
+            h[~common] = rare[base[~common] - 1 - symbols[~common]]
+            tokens, cells = np.unique(h, return_inverse=True)
+            _, _, _, emits = model.expect(_core(symbols, own), lengths, cells, len(tokens))
+            both = np.concatenate([held_h, tokens])
+            one, place = np.unique(both, return_inverse=True)
+            g = np.concatenate([held_g, emits])
+            held_h, held_g = one, np.stack([np.bincount(place, g[:, k], len(one)) for k in range(states)], 1)
+            if len(held_h) > _HELD:
+                yield give(held_h, held_g)
+                held_h, held_g = held_h[:0], held_g[:0]
+        if len(held_h):
+            yield give(held_h, held_g)
+
+    parts = encoded.select("symbols", "rare").mapInArrow(run, "h long, g array<float>")
+    return parts.groupBy("h").agg(F.array(*[F.sum(F.get("g", F.lit(k)).cast("double")) for k in range(states)]).alias("g"))
+
+
+def emissions(tokens: DataFrame, counts: DataFrame, known: Unigrams, states: int, prior: float = PRIOR) -> tuple[DataFrame, np.ndarray]:
+    """``h, c, e``: each token's count and its probabilities in each state relative to its overall share; and those of unknown tokens.
+
+    A token's states are estimated from its expected counts and ``prior`` occurrences of the average token. Together with
+    one unknown token the probabilities of a state sum to one.
+    """
+    first = tokens.agg(*[F.sum(F.get("g", F.lit(k))).alias(f"s{k}") for k in range(states)]).first()
+    sums = np.array([x or 0.0 for x in first], float)
+    overall = np.maximum(sums / sums.sum() if sums.sum() else np.full(states, 1 / states), 1e-9)
+    raw = [(F.get("g", F.lit(k)) + F.lit(float(prior * overall[k]))) / (F.col("c") + F.lit(float(prior))) / F.lit(float(overall[k])) for k in range(states)]
+    joined = tokens.join(counts, "h").select("h", "c", F.array(*raw).alias("r"))
+    share = (F.col("c") + 1) / F.lit(known.denominator)
+    norm = joined.agg(*[F.sum(share * F.get("r", F.lit(k))).alias(f"z{k}") for k in range(states)]).first()
+    z = np.array([x or 0.0 for x in norm], float) + 1.0 / known.denominator
+    return joined.select("h", "c", F.array(*[(F.get("r", F.lit(k)) / F.lit(float(z[k]))).cast("float") for k in range(states)]).alias("e")), 1.0 / z
+
+
+def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple[str, ...] | None = None, states: int = STATES, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
     """The kept columns of ``docs`` with ``n_tokens, n_known, train_tokens, base_score, score``; the rows where ``training`` holds are learnt from.
 
-    ``base_score`` is the log10 probability under add-one unigrams of all training tokens, exact for every token: counts of
-    frequent tokens are broadcast, those of the others are joined. ``score`` is the log10 probability under the hidden Markov
-    model: a state emits a frequent token with a probability of its own, or one of all other tokens, which then share that
-    probability as the unigrams do. Null and empty texts are one end. Repeated rows are
-    scored alike, and count again in training. Without training rows every token is unknown. Columns that have a name of the
-    result are replaced; an empty table gives an empty result.
+    ``base_score`` is the log10 probability under add-one unigrams of all training tokens, exact for every token. ``score`` is
+    the log10 probability under the hidden Markov model, in which every token of the vocabulary has emissions of its own.
+    Counts and emissions of frequent tokens are broadcast, those of all others joined. Null and empty texts are one end.
+    Repeated rows are scored alike, and count again in training. Without training rows every token is unknown. Columns that
+    have a name of the result are replaced; an empty table gives an empty result.
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in (keep or docs.columns) if c not in made]
@@ -322,22 +408,50 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple
     cols = {f"_{i}": F.col(c) for i, c in enumerate(names)}
     rows = docs.select(*[c.alias(n) for n, c in cols.items()], F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
     encoded = written(encode(rows, uni), "hmm-encoded")
-    model, _ = baum_welch(encoded.where("training"), uni.symbol_shares(), states, iterations)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, _ = baum_welch(encoded.where("training"), uni.symbol_shares(), states)
+    tokens = written(token_states(encoded.where("training"), model, uni), "hmm-states")
+    table, unknown = emissions(tokens, counts, uni, states)
+    table = written(table, "hmm-emissions")
+    common = table.join(F.broadcast(_hashes(docs.sparkSession, uni)), "h").select("symbol", "e").toArrow().sort_by("symbol")  # FREQUENT at most
+    emit = np.concatenate([common.column("e").combine_chunks().flatten().to_numpy().reshape(-1, states) if common.num_rows else np.zeros((0, states)), unknown[None, :]])
+    shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, emit.astype(np.float64)))
+    denominator = uni.denominator
+
+    pairs = encoded.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("k", "x")).select("row", "k", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
+    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))
+    of_row = pairs.join(table, "h", "left").groupBy("row").agg(
+        F.sum(F.col("n") * log).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"),
+        F.collect_list(F.when(F.col("c") > 0, F.col("k"))).alias("ks"), F.flatten(F.collect_list("e")).alias("es"),
+    )
+    joined = encoded.join(of_row, "row", "left").select("symbols", "ks", "es", *cols, "n_tokens", "n_frequent", "frequent_log", "rare_log", "n_rare")
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for syms, lengths, held in _groups(batches, 1):
-            rows = pa.concat_arrays([b.column(0) for b in held])
-            yield pa.RecordBatch.from_arrays([rows, pa.array(shared.value.forward(syms, lengths))], ["row", "gain"])
-
-    gains = encoded.select("row", "symbols").mapInArrow(likelihood, "row long, gain double")
-    pairs = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    each = pairs.join(counts, "h", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(uni.denominator))
-    rare = each.groupBy("row").agg(F.sum(F.col("n") * log).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
+        start, move, emit = shared.value
+        for syms, lengths, held in _groups(batches, 0):
+            ks = [b.column(1).fill_null([]) if b.column(1).null_count else b.column(1) for b in held]
+            sizes = np.concatenate([x.value_lengths().to_numpy() for x in ks]).astype(np.int64)
+            k = np.concatenate([x.flatten().to_numpy() for x in ks]).astype(np.int64)
+            e = np.concatenate([b.column(2).flatten().to_numpy() for b in held]).reshape(-1, len(start)).astype(np.float64)
+            # a cell for each known other token of a row, after those of the symbols; all others are unknown
+            row = np.repeat(np.arange(len(lengths)), sizes)
+            most = np.zeros(len(lengths), np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            other = np.flatnonzero(syms < 0)
+            np.maximum.at(most, owner[other], -syms[other].astype(np.int64))
+            begin = np.cumsum(most) - most
+            cell = np.full(int(most.sum()), len(emit) - 1)
+            cell[begin[row] + k] = len(emit) + np.arange(len(k))
+            index = syms.astype(np.int64)
+            index[other] = cell[begin[owner[other]] - 1 - syms[other]]
+            gain = HiddenMarkov(start, move, np.concatenate([emit, e]), np.zeros(0)).forward(index, lengths)
+            at = 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(gain[at : at + b.num_rows])], [*b.schema.names[3:], "gain"])
+                at += b.num_rows
+
+    found = joined.mapInArrow(likelihood, joined.drop("symbols", "ks", "es").schema.add("gain", "double"))
     base = F.col("frequent_log") + F.coalesce("rare_log", F.lit(0.0))
-    joined = encoded.select("row", *cols, "n_tokens", "n_frequent", "frequent_log").join(gains, "row").join(rare, "row", "left")
-    return joined.select(
+    return found.select(
         *[F.col(k).alias(n) for k, n in zip(cols, names, strict=True)],
         "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(uni.total).cast("long").alias("train_tokens"),
         base.alias("base_score"), (base + F.col("gain")).alias("score"),
