@@ -16,7 +16,7 @@ from vantor.llm._store import written
 
 STATES = 8
 #: Baum-Welch makes at least and at most so many passes; between, it stops when a pass gains less than TOLERANCE a token (log10).
-LEAST_PASSES, MOST_PASSES, TOLERANCE = 5, 8, 0.002
+LEAST_PASSES, MOST_PASSES, TOLERANCE = 5, 12, 0.01
 #: While the states are learnt, so many of the most frequent tokens have emissions of their own and all others share one. The
 #: last pass then gives every token of the vocabulary its own.
 SYMBOLS = 1 << 14
