@@ -401,7 +401,11 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-def test_decontamination(spark, docs, rows, none):
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination(spark, docs, rows, none, small, monkeypatch):
+    if not small:
+        for name in ("BROADCAST_NGRAMS", "BROADCAST_TEXTS"):
+            monkeypatch.setattr(decontaminate, name, 0)
     long = next(r[1] for r in rows if r[1] and len(alnum(r[1])) > 60)
     items = [(1, " ".join(alnum(long)[5:30])), (10, " ".join(alnum(long)[12:22]).upper()), (2, "Tiny!"), (3, ""), (4, None), (5, "no such words are in any of the many texts here"), (1, "repeated id"), (None, " ".join(alnum(long)[40:55]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
