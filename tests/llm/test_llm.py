@@ -510,7 +510,7 @@ def test_licenses(docs, rows, none):
     assert some > 100
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (4, 2), (7, 2)])
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (4, 2), (7, 3)])
 def test_line_dedup(docs, rows, none, batches, fanout):
     key = lambda line: lower(line.strip(" \t\n\v\f\r"))
     holders = {}
@@ -528,6 +528,31 @@ def test_line_dedup(docs, rows, none, batches, fanout):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_runs_are_read_in_order_and_kept(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    runs = linededup.LineRuns(spark)
+    try:
+        frame = lambda a, b: spark.createDataFrame([(i, f"a long enough line {i % 30}") for i in range(a, b)], "doc_id long, text string")
+        assert linededup.dedup_lines(frame(0, 20), runs=runs).where("n_dropped > 0").count() == 0
+        assert {r.doc_id for r in linededup.dedup_lines(frame(20, 70), runs=runs).where("n_dropped > 0").collect()} == set(range(30, 70))
+        assert sum(r.count() for r in runs.runs()) == 30
+        batch = spark.range(100).select(F.col("id").alias("k1"), F.col("id").alias("k2"))
+        plan = batch.join(runs.runs()[0], ["k1", "k2"], "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1, plan
+    finally:
+        runs.drop()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_string_ids(spark):
+    texts = ["a line that is long enough\n" + "x" * 150, "other\nA line that is long enough", None, "x" * 150]
+    frame = spark.createDataFrame([(i, t) for i, t in zip("badc", texts, strict=True)] + [(None, texts[0])], "doc_id string, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(frame).collect()}
+    assert got == {"a": (2, 0), "b": (2, 1), "c": (1, 1), "d": (1, 0), None: (2, 0)}
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(frame).collect()}
+    assert got == {"a": 0, "b": 149, "c": 150, "d": 0, None: len(texts[0])}
+
+
 def test_lines_of_null_ids_stay(spark):
     frame = spark.createDataFrame([(None, "a long enough line"), (1, "a long enough line"), (None, "a long enough line")], "doc_id long, text string")
     assert linededup.dedup_lines(frame).where("n_dropped > 0").count() == 0

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm import _bytes as B
+from vantor.llm._ids import numbered
 from vantor.llm._store import written
 
 WINDOW = 100
@@ -364,14 +365,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The kept columns of ``docs`` with ``kept`` (the remaining bytes), ``n_bytes, n_removed, n_spans``.
 
     A byte is removed if a string of ``window`` bytes that covers it also starts earlier: in a document with a smaller id, or
-    before in the same one. Strings are judged on the input and don't cross documents; ``n_spans`` counts the maximal removed
+    before in the same one (ids of any type that has an order). Strings are judged on the input and don't cross documents; ``n_spans`` counts the maximal removed
     runs. Null texts are empty. Null ids come last. Rows that share an id come in the order of a hash of their texts; equal
     rows are one document and get equal results. Columns that have a name of the result are replaced; an empty table gives an
     empty result. Strings of equal 128-bit hashes count as equal where an anchor's classes are formed.
     """
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     names = [c for c in (keep or docs.columns) if c not in made]
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    docs = numbered(docs, id_col, "_number")
+    doc = F.coalesce("_number", F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = written(_classes(_first_of_classes(keyed, window, q), window, q), "repeat-classes")
