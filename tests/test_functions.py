@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantor.functions import numeric as N
+from vantor.functions import stemming
 from vantor.functions import text as T
 from vantor.operators import facts, history, quality, scoring, search
 
@@ -82,8 +83,17 @@ def test_scores(spark):
 
 def test_query_parser():
     q = search.parse_query('site:foo.com "AI product studio" python NOT java react OR vue')
-    assert q.site == "foo.com" and q.phrases == ("ai product studio",) and q.without == ("java",)
-    assert q.groups == (("ai",), ("product",), ("studio",), ("python",), ("react", "vue"))
+    assert q.domain == "foo.com" and q.units == (("ai", "product", "studio"), ("python",), ("java",), ("react",), ("vue",))
+    assert q.tree == ("OR", ("AND", ("AND", 0, ("NOT", 1, 2)), 3), 4)
+    assert search.parse_query("résumé-forge").units == (("resume", "forge"),)
+    assert search.parse_query("github.com/trending").domain == "github.com" and search.parse_query("github.com/trending").units == (("trending",),)
+    assert search.parse_query("https://a.org/x-y").units == (("x",), ("y",)) and search.parse_query("www.a.org OR").tree is not None
+    assert search.parse_query("").tree is None and search.parse_query("NOT").tree is None and search.parse_query("a -b").tree == ("NOT", 0, 1)
+
+
+def test_stems():
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "adoption": "adopt", "rate": "rate", "cease": "ceas", "controlling": "control", "sky": "sky", "été": "été"}
+    assert {w: stemming.stem(w) for w in words} == words
 
 
 @pytest.mark.parametrize("column", [T.host, T.url, T.phone, T.company_name])

@@ -58,3 +58,17 @@ def cost(model: Column, prompt: Column, completion: Column, rates: Mapping[str,
     a = lookup(model, {k: v[0] for k, v in rates.items()}, default[0])
     b = lookup(model, {k: v[1] for k, v in rates.items()}, default[1])
     return prompt / F.lit(1e6) * a + completion / F.lit(1e6) * b
+
+
+def freshness_ratio(age: Column, ttl: Column) -> Column:
+    """What is left of the time to live, from 1 to 0; ages below zero are 1."""
+    return rnd(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - age / ttl)), 2)
+
+
+def valid_until(at: Column, hours: Column) -> Column:
+    return at + F.make_dt_interval(hours=hours.cast("int"))
+
+
+def estimated_tokens(text: Column) -> Column:
+    """One token for each four characters, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("int"))

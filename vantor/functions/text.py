@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ LEGAL_FORMS = ("private limited", "pvt ltd", "limited", "ltd", "incorporated", "
 #: Public suffixes of two labels.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "gov.uk", "ac.uk", "co.in", "net.in", "org.in", "gen.in", "firm.in", "ind.in", "com.au", "net.au", "org.au", "edu.au", "co.jp", "ne.jp", "ac.jp", "co.za", "org.za", "com.br", "net.br", "org.br", "com.sg", "edu.sg")
 #: Mailboxes of roles, and free mail hosts.
-ROLE_MAILBOXES = ("info", "contact", "hello", "sales", "support", "admin", "office", "team", "help", "marketing", "hr", "jobs", "careers", "billing", "press", "media", "enquiry", "noreply")
-FREE_MAIL_HOSTS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "aol.com", "protonmail.com", "zoho.com", "mail.com", "gmx.com", "yandex.com", "live.com", "msn.com", "rediffmail.com", "me.com", "fastmail.com")
+ROLE_MAILBOXES = ("info", "sales", "contact", "support", "admin", "hello", "team", "marketing", "billing", "help", "office", "jobs", "careers", "press", "legal", "security", "inquiries", "general")
+FREE_MAIL_HOSTS = ("gmail.com", "googlemail.com", "yahoo.com", "ymail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "icloud.com", "me.com", "aol.com", "protonmail.com", "proton.me", "zoho.com", "mail.com", "gmx.com")
+#: What titles are written out to, in order; the last one also holds inside words.
+TITLE_WORDS = {"vp ": "vice president ", "vp,": "vice president,", "dir ": "director ", "mgr ": "manager ", "sr.": "senior", "jr.": "junior", "it": "information technology"}
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _SUFFIX = "|".join(r"\s*".join(f.split()) if f in ("s a", "s r l") else r"\s+".join(f.split()) for f in sorted(LEGAL_FORMS, key=len, reverse=True))
 
@@ -148,6 +152,50 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with a mark, and the letters without it."""
+    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def folded_tokens(x: Column) -> Column:
+    """Runs of letters and digits in lower case, Latin letters without their marks."""
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(x, F.lit(""))), MARKED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def title_words(x: Column) -> Column:
+    """A job title in lower case with its abbreviations written out."""
+    out = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    for short, long in TITLE_WORDS.items():
+        out = F.replace(out, F.lit(short), F.lit(long))
+    return squeeze(out)
+
+
+def iso_time(x: Column) -> Column:
+    """The time of an ISO text; without a zone it is UTC, and what isn't a time is null."""
+    text = F.trim(x)
+    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), F.concat(text, F.lit("Z"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")))
+    return zoned.try_cast("timestamp")
+
+
+def iso_text(x: Column) -> Column:
+    return F.date_format(x.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def id_time(x: Column) -> Column:
+    """The milliseconds that an id of the form prefix_hex_random holds, or null."""
+    parts = F.split(x, "_")
+    return F.when((F.size(parts) >= 3) & F.get(parts, F.lit(1)).rlike("^[0-9a-fA-F]{1,15}$"), F.conv(F.get(parts, F.lit(1)), 16, 10).cast("long"))
+
+
+def json_hash(x: Column) -> Column:
+    """The SHA-256 of a JSON document with its keys in order; null for what isn't JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(x)).cast("binary"), 256)
+
+
 def phrase_tokens(items: Column) -> Column:
     """Lower-cased phrases, and the longer words of those that have several."""
     low = F.transform(items, lambda i: F.lower(F.trim(i)))

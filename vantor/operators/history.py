@@ -22,6 +22,43 @@ def changes(rows: DataFrame, key: list[str], ts: str, value: str, tie: str) -> D
     return out.withColumn("delta", rnd(delta, 2)).withColumn("pct", rnd(pct, 2))
 
 
+def value_range(x: Column) -> Column:
+    """(low, high) of "51-200" or "500+", else null."""
+    clean = F.regexp_replace(x, ",", "")
+    low, high = (F.regexp_extract(clean, r"(\d+)\s*[-–]\s*(\d+)", k).try_cast("long") for k in (1, 2))
+    open_ = F.regexp_extract(clean, r"(\d+)\s*\+", 1).try_cast("long")
+    return F.when(low.isNotNull(), F.struct(low.alias("low"), high.alias("high"))).when(open_.isNotNull(), F.struct(open_.alias("low"), F.lit(None).cast("long").alias("high")))
+
+
+def range_transition(old: Column, new: Column) -> Column:
+    """The two ranges as text if both are ranges and differ, else null."""
+    a, b = value_range(old), value_range(new)
+    text = lambda r: F.concat_ws("-", r["low"].cast("string"), r["high"].cast("string"))
+    return F.when(a.isNotNull() & b.isNotNull() & ~a.eqNullSafe(b), F.concat(text(a), F.lit(" to "), text(b)))
+
+
+def change_event(old: Column, new: Column, old_version: Column, new_version: Column, confidence: Column) -> Column:
+    """``event, confidence``: null for a change of form alone; another extractor means another reading, with half the confidence."""
+    plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s,.]+", "")
+    revised = old_version.isNotNull() & new_version.isNotNull() & (old_version != new_version)
+    made = F.when(revised, F.struct(F.lit("interpretation_revised").alias("event"), (confidence * 0.5).alias("confidence"))).otherwise(F.struct(F.lit("fact_changed").alias("event"), (confidence * 1.0).alias("confidence")))
+    return F.when(~plain(old).eqNullSafe(plain(new)), made)
+
+
+def adoption(rows: DataFrame, key: list[str], ts: str, status: str, as_of: Column, days: int) -> DataFrame:
+    """``added, removed, net_change`` of a trailing window, for keys with any."""
+    inside = rows.where((F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= as_of))
+    found = inside.groupBy(*key).agg(F.count_if(F.col(status) == "accepted").alias("added"), F.count_if(F.col(status) == "superseded").alias("removed"))
+    return found.where("added + removed > 0").withColumn("net_change", F.col("added") - F.col("removed"))
+
+
+def backfill(changes_: DataFrame, known: DataFrame, fingerprint: str) -> tuple[DataFrame, DataFrame]:
+    """The changes that aren't known yet, once each, and one row of counters (``processed, created, skipped``)."""
+    new = changes_.dropDuplicates([fingerprint]).join(known.select(fingerprint).distinct(), fingerprint, "left_anti")
+    counters = changes_.agg(F.count("*").alias("processed")).crossJoin(F.broadcast(new.agg(F.count("*").alias("created"))))  # one row each
+    return new, counters.withColumn("skipped", F.col("processed") - F.col("created"))
+
+
 def set_changes(old: Column, new: Column, prefix: str) -> Column:
     """Rows (event, value) of what a list of values gained and lost."""
     made = lambda values, what: F.transform(F.array_sort(values), lambda v: F.struct(F.lit(f"{prefix}_{what}").alias("event"), v.alias("value")))
@@ -82,7 +119,8 @@ def activity(rows: DataFrame, key: list[str], ts: str, as_of: Column, days: tupl
     return rows.groupBy(*key).agg(*counts, F.max(ts).alias("last_change_at"))
 
 
-def timeline(events: DataFrame, fingerprint: str, drop_derived: bool = False) -> DataFrame:
-    """Events once each, without derived ones if asked."""
+def timeline(events: DataFrame, fingerprint: str, drop_derived: bool = False, ts: str | None = None) -> DataFrame:
+    """Events once each, without derived ones if asked, in the order of ``ts`` if there is one."""
     kept = events.dropDuplicates([fingerprint])
-    return kept.where("NOT is_derived") if drop_derived else kept
+    kept = kept.where("NOT is_derived") if drop_derived else kept
+    return kept.orderBy(ts, fingerprint) if ts else kept

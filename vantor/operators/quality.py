@@ -63,6 +63,63 @@ def outreach_gate(email: Column, suppressed: Column, mail_status: Column, is_rol
     )
 
 
+def trust_gate(status: Column, evidence: Column, confidence: Column, least: float = 0.70) -> Column:
+    """Whether a fact counts as known: conflicts, staleness, evidence and confidence, in that order."""
+    score = F.coalesce(confidence, F.lit(0.5))
+    decided = lambda s, n, r: F.struct(F.lit(s).alias("status"), n.alias("score"), F.lit(r).alias("reason"))
+    return (
+        F.when(F.coalesce(status == "conflicting", F.lit(False)), decided("blocked", F.lit(0.20), "UNRESOLVED_ENTITY_CONFLICT"))
+        .when(F.coalesce(status == "stale", F.lit(False)), decided("reverify", F.lit(0.45), "DATA_STALE"))
+        .when(F.coalesce(evidence, F.lit(0)) < 1, decided("limited", F.lit(0.40), "INSUFFICIENT_EVIDENCE"))
+        .when((score < least) & (score >= 0.5), decided("limited", score, "LOW_FACT_CONFIDENCE"))
+        .when(score < least, decided("blocked", score, "LOW_FACT_CONFIDENCE"))
+        .otherwise(decided("pass", score, "FACT_CONFIDENCE_ACCEPTABLE"))
+    )
+
+
+def prospect_gate(duplicate: Column, required: list[Column], recommended: list[Column], verification: Column, confidence: Column, least: float = 0.75) -> Column:
+    """Whether a prospect is complete and verified enough. Duplicates and missing fields block."""
+    status, sure = F.coalesce(verification, F.lit("unverified")), F.coalesce(confidence, F.lit(1.0))
+    lacking = F.lit(False)
+    for c in required:
+        lacking = lacking | empty(c)
+    score = quality_score(F.lit(True), completeness(recommended), F.when(status == "verified", sure).otherwise(0.4), F.lit(1.0), F.lit(0.0))
+    decided = lambda s, n, r: F.struct(F.lit(s).alias("status"), n.alias("score"), F.lit(r).alias("reason"))
+    return (
+        F.when(F.coalesce(duplicate, F.lit(False)), decided("blocked", F.lit(0.0), "DUPLICATE_PROSPECT"))
+        .when(lacking, decided("blocked", F.lit(0.20), "MISSING_PRIMARY_DOMAIN"))
+        .when(status.isin("stale", "aging"), decided("reverify", score, "DOMAIN_STALE"))
+        .when(status == "unverified", decided("limited", score, "DOMAIN_UNVERIFIED"))
+        .when(score < least, decided("limited", score, "PROFILE_INCOMPLETE"))
+        .otherwise(decided("pass", score, "DOMAIN_VERIFIED"))
+    )
+
+
+def personalization_gate(company: Column, lead: Column, offer: Column, hook: Column) -> Column:
+    return _decided([(empty(company) | empty(lead) | empty(offer), "blocked", 0.20, "PROFILE_INCOMPLETE"), (empty(hook), "limited", 0.55, "INSUFFICIENT_EVIDENCE")], "pass", 0.85, "EVIDENCE_SUFFICIENT")
+
+
+#: What is to be done about each reason, in order.
+ACTIONS = (
+    ("reverify_email", ("EMAIL_UNVERIFIED", "EMAIL_CATCHALL")),
+    ("suppress", ("EMAIL_SUPPRESSED",)),
+    ("deduplicate", ("DUPLICATE_PROSPECT",)),
+    ("refresh_employment", ("STALE_EMPLOYMENT", "EMPLOYMENT_UNKNOWN")),
+    ("verify_company", ("COMPANY_UNVERIFIED",)),
+    ("verify_domain", ("DOMAIN_UNVERIFIED", "MISSING_PRIMARY_DOMAIN", "DOMAIN_UNREACHABLE")),
+    ("reverify_domain", ("DOMAIN_STALE",)),
+    ("resolve_identity", ("UNRESOLVED_ENTITY_CONFLICT", "HARD_IDENTITY_CONFLICT", "MISSING_CANONICAL_IDENTITY")),
+    ("collect_more_evidence", ("INSUFFICIENT_EVIDENCE", "LOW_FACT_CONFIDENCE")),
+    ("research_company", ("PROFILE_INCOMPLETE",)),
+    ("reprocess_quarantine", ("MALFORMED_OBSERVATION", "QUARANTINE_RECORDED")),
+)
+
+
+def actions(reasons: Column) -> Column:
+    """The repairs that an array of reasons asks for, once each."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(reasons, F.array(*[F.lit(r) for r in causes])), F.lit(a)) for a, causes in ACTIONS]))
+
+
 #: Statuses from best to worst.
 SEVERITY = ("pass", "limited", "reverify", "quarantine", "blocked")
 

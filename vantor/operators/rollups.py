@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +66,84 @@ def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int) -> Da
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def throttle(alerts: DataFrame, key: str, ts: str, seconds: int = 300) -> DataFrame:
-    """``dispatched``: an alert goes out if none of its key has in the last seconds. One ordered pass that holds one time a key."""
+def page_with_total(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of rows with ``total`` and ``has_more``."""
+    total = rows.agg(F.count("*").alias("total"))
+    return page_of(rows, order, offset, limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # one row of totals
+
+
+def table_filter(rows: DataFrame, text: str, order: str, descending: bool = False) -> DataFrame:
+    """Rows whose JSON contains a text, without case; sorted with nulls last."""
+    kept = rows.where(F.lower(F.to_json(F.struct("*"))).contains(text.lower()))
+    return kept.orderBy(F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last())
+
+
+def evaluation(rows: DataFrame, task: str, valid: Column, latency: Column, cost: Column) -> DataFrame:
+    """``task, cases, validity_rate, avg_latency, total_cost`` of evaluated cases."""
+    out = rows.groupBy(F.col(task).alias("task")).agg(F.count("*").alias("cases"), F.count_if(valid).alias("_v"), F.avg(latency).alias("_l"), F.sum(cost).alias("_c"))
+    return out.select("task", "cases", rnd(F.col("_v") / F.col("cases"), 4).alias("validity_rate"), rnd(F.col("_l"), 2).alias("avg_latency"), rnd(F.col("_c"), 4).alias("total_cost"))
+
+
+def project_overview(prospects: DataFrame, project: str, status: str, score_status: str) -> DataFrame:
+    """Counts of a project's prospects by their status and that of their score (null: not ranked)."""
+    s, r = F.col(status), F.col(score_status)
+    return prospects.groupBy(project).agg(
+        F.count("*").alias("candidates"), F.count_if(r.isNotNull()).alias("ranked"), (F.count_if(s == "researching") + F.count_if(r == "research_more")).alias("research_needed"),
+        F.count_if(r == "reverify").alias("reverify_needed"), F.count_if(s == "campaign_ready").alias("campaign_ready"), F.count_if(s == "rejected").alias("rejected"),
+    )
+
+
+def usage(rows: DataFrame, key: str, units: Column, tiers: dict[str, int], tier: Column) -> DataFrame:
+    """``key, tier, used, quota, remaining, over``: what each key has used of its tier's quota."""
+    quota = F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv])
+    used = rows.groupBy(key).agg(F.sum(units).alias("used"), F.max(tier).alias("tier"))
+    out = used.withColumn("quota", F.try_element_at(quota, F.col("tier")))
+    return out.select(key, "tier", "used", "quota", F.greatest(F.col("quota") - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") > F.col("quota")).alias("over"))
+
+
+def gate_metrics(rows: DataFrame, gate: str, status: str, reason: str, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """How often each gate gave each status, and the most frequent reasons."""
+    return rows.groupBy(gate, status).agg(F.count("*").alias("n")), rows.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), reason).limit(most)
+
+
+def throttle(alerts: DataFrame, key: str, ts: str, seconds: int = 300, tie: str | None = None) -> DataFrame:
+    """``dispatched``: an alert goes out if none of its key has gone out in the last seconds; of equal times the first by ``tie``.
+
+    One ordered pass that holds one time; each step jumps to the next alert that goes out.
+    """
 
     def run(parts):
-        last: tuple = (None, None)
+        last, until = None, None
         for part in parts:
-            sent = []
-            for k, t in zip(part[key], part[ts], strict=True):
-                go = last[0] != k or (t - last[1]).total_seconds() >= seconds
-                if go:
-                    last = (k, t)
-                sent.append(go)
+            keys, times = part[key].to_numpy(), part[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            sent = np.zeros(len(part), bool)
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True):
+                at = a if keys[a] != last else a + int(np.searchsorted(times[a:b], until))
+                while at < b:
+                    sent[at] = True
+                    until = times[at] + seconds * 1_000_000
+                    at = max(at + 1, a + int(np.searchsorted(times[a:b], until)))
+                last = keys[a]
             yield part.assign(dispatched=sent)
 
-    return alerts.repartition(F.col(key)).sortWithinPartitions(key, ts).mapInPandas(run, alerts.schema.add("dispatched", "boolean"))
+    order = [key, ts, *([tie] if tie else [])]
+    return alerts.repartition(F.col(key)).sortWithinPartitions(*order).mapInPandas(run, alerts.schema.add("dispatched", "boolean"))
+
+
+def monthly_quota(rows: DataFrame, key: str, ts: str, most: int) -> DataFrame:
+    """``used_in_month, over_quota`` of each request, in the order of time."""
+    w = Window.partitionBy(key, F.date_trunc("month", ts)).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used_in_month", F.count("*").over(w)).withColumn("over_quota", F.col("used_in_month") > most)
+
+
+def newest(rows: DataFrame, key: str, order: list[Column], k: int = 1000) -> DataFrame:
+    """The newest rows of each key, on which rolling statistics stand."""
+    return last_of_each(rows, key, order, k).drop("place")
+
+
+def reclaim(leases_: DataFrame, now: Column, expires: str, attempts: str, most: int = 3) -> DataFrame:
+    """``state, attempts`` of leased jobs: expired ones wait again, or fail after too many attempts."""
+    late = F.col(expires) < now
+    state = F.when(late & (F.col(attempts) + 1 >= most), "failed").when(late, "pending").otherwise("leased")
+    return leases_.withColumn("state", state).withColumn(attempts, F.col(attempts) + late.cast("int"))

@@ -152,6 +152,45 @@ def lead_priority(score: Column) -> Column:
     return F.when(score >= 75, "High").when(score >= 50, "Medium").otherwise("Low")
 
 
+def axes(web: Column, mails: Column, phones: Column, place: Column, description: Column, industry: Column, city: Column, target_industry: str | None, target_city: str | None, signals: dict[str, Column]) -> dict[str, Column]:
+    """Data confidence, profile fit and buying signals from 0 to 100, and the priority that they give."""
+    one = lambda c, n: F.when(F.coalesce(c, F.lit(False)), float(n)).otherwise(0.0)
+    sure = one(web, 25) + one(mails, 25) + one(phones, 20) + one(place, 15) + one(description, 15)
+    ind, town = F.lower(F.coalesce(industry, F.lit(""))), F.lower(F.coalesce(city, F.lit("")))
+    if target_industry:
+        t = F.lit(target_industry.lower())
+        fit = F.when(ind.contains(t) | t.contains(ind), 50.0).when(ind != "", 20.0).otherwise(0.0)
+    else:
+        fit = F.when(ind != "", 30.0).otherwise(0.0)
+    fit = fit + (F.when(town.contains(target_city.lower()), 50.0).otherwise(0.0) if target_city else F.when(town != "", 20.0).otherwise(0.0))
+    worth = {"funding_raised": 40.0, "hiring_growth": 35.0, "tech_stack_active": 25.0}
+    buying = F.least(F.lit(100.0), sum((F.coalesce(signals[k], F.lit(0)) * w for k, w in worth.items() if k in signals), F.lit(0.0)))
+    total = sure * 0.25 + fit * 0.45 + buying * 0.30
+    priority = F.when((total >= 75.0) | ((fit >= 80.0) & (sure >= 60.0)), "High").when(total >= 50.0, "Medium").otherwise("Low")
+    return {"data_confidence": sure, "icp_fit": fit, "buying_signal": buying, "priority": priority}
+
+
+def lifecycle(status: Column, current: Column, batch: bool = False) -> Column:
+    """The status of a prospect after its ranking; outside batches, what is to be verified again counts as qualified."""
+    again = "ranked" if batch else "qualified"
+    return (
+        F.when(status == "not_eligible", "rejected").when(status == "research_more", "researching").when(status == "reverify", again)
+        .when(status.isin("priority", "strong"), "qualified").when(status == "possible", "ranked").otherwise(current)
+    )
+
+
+#: Parts of reason codes that speak against a prospect.
+AGAINST = ("BLOCK", "PENALTY", "EXCLUSION", "SUPPRESS", "INVALID", "STALE", "CONFLICT", "MISSING")
+
+
+def reason_rows(scored: DataFrame, id_col: str, reasons: str, status: str) -> DataFrame:
+    """One row for each reason of a score: ``reason_code, component, contribution, direction``."""
+    each = scored.select(id_col, status, F.explode(reasons).alias("reason_code"))
+    bad = F.col("reason_code").rlike("|".join(AGAINST))
+    worth = F.when(bad & (F.col(status) == "not_eligible"), -1.0).when(bad, -0.05).otherwise(0.10)
+    return each.select(id_col, "reason_code", F.when(bad, "penalty").otherwise("fit").alias("component"), worth.alias("contribution"), F.when(bad, "negative").otherwise("positive").alias("direction"))
+
+
 def explanations(scored: DataFrame, id_col: str) -> DataFrame:
     """One row for each component of a score."""
     parts = ("account_score", "person_score", "signal_score", "timing_score", "contact_score")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vantor.functions import numeric as N
 from vantor.functions import text as T
-from vantor.operators import extract, facts, graph, history, icp, pages, pipeline, quality, resolution, rollups, scoring, search
+from vantor.operators import extract, facts, graph, history, icp, pages, pipeline, quality, resolution, rollups, scoring, search, vectors
 from vantor.sources.tables import table
 from vantor.streaming import events as streams
 
@@ -49,35 +49,98 @@ def _r(x: str, n: int) -> str:
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
-def _bm25_sql(terms: list[str], without: list[str] = ()) -> str:
-    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf_{i}" for i, w in enumerate([*terms, *without]))
-    part = " + ".join(f"ln(1.0 + (n - df_{i} + 0.5) / (df_{i} + 0.5)) * (tf_{i} * 2.2) / (tf_{i} + 1.2 * (0.25 + 0.75 * l / mean))" for i in range(len(terms)))
-    hit = " AND ".join([f"tf_{i} > 0" for i in range(len(terms))] + [f"tf_{len(terms) + i} = 0" for i in range(len(without))])
-    return f"""cut AS (SELECT doc_id AS id, text, {_TOKENS} AS t FROM documents),
-counted AS (SELECT id, text, len(t) AS l, {tf} FROM cut),
-stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l) AS mean, {", ".join(f"CAST(count(*) FILTER (tf_{i} > 0) AS DOUBLE) AS df_{i}" for i in range(len(terms)))} FROM counted),
-hits AS (SELECT id, text, {_r(part, 4)} AS bm25, l AS len FROM counted, stats WHERE {hit})"""
+def _tok(x: str) -> str:
+    return rf"regexp_extract_all(translate(lower(coalesce({x}, '')), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}]+')"
 
 
-@register(f"WITH {_bm25_sql(['the', 'that'])} SELECT id, bm25, len FROM hits ORDER BY bm25 DESC, id LIMIT 20")
+def _hits_sql(text: str, domain: str = "") -> str:
+    """The fielded formula over all documents: source as host, first line as title, language as description."""
+    query = search.parse_query(text)
+
+    def count(field: str, unit: tuple[str, ...]) -> str:
+        if len(unit) == 1:
+            return f"len(list_filter({field}, lambda x: x = '{unit[0]}'))"
+        same = " AND ".join(f"{field}[j + {k}] = '{t}'" for k, t in enumerate(unit))
+        return f"len(list_filter(range(1, len({field}) + 1), lambda j: {same}))"
+
+    def holds(tree) -> str:
+        if isinstance(tree, int):
+            return f"w_{tree} > 0"
+        op, x, y = tree
+        return f"({holds(x)} {'OR' if op == 'OR' else 'AND'} {'NOT ' if op == 'NOT' else ''}({holds(y)}))"
+
+    n = range(len(query.units))
+    weights = ", ".join(f"CAST({' + '.join(f'{int(w)} * {count(f't{k}', query.units[i])}' for k, w in enumerate(search.FIELDS.values()))} AS DOUBLE) AS w_{i}" for i in n)
+    part = " + ".join(f"greatest(1e-6, ln((n - df_{i} + 0.5) / (df_{i} + 0.5))) * (w_{i} * 2.2e0) / (w_{i} + 1.2e0 * (0.25e0 + 0.75e0 * len / mean))" for i in n)
+    return f"""cut AS (SELECT doc_id AS id, source AS domain, split_part(text, chr(10), 1) AS title, {_tok("source")} AS t0, {_tok("split_part(text, chr(10), 1)")} AS t1, {_tok("lang")} AS t2, {_tok("text")} AS t3 FROM documents),
+counted AS (SELECT id, domain, title, len(t0) + len(t1) + len(t2) + len(t3) AS len, {weights} FROM cut),
+stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean, {", ".join(f"CAST(count(*) FILTER (w_{i} > 0) AS DOUBLE) AS df_{i}" for i in n)} FROM counted),
+hits AS (SELECT id, domain, title, {_r("0e0 + " + part, 4)} AS bm25, CAST(len AS INT) AS len FROM counted, stats WHERE {holds(query.tree)}{domain})"""
+
+
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark, d) -> search.Index:
+    """The index of the documents, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        first_line = F.split_part("text", F.lit("\n"), F.lit(1))
+        fields = {"domain": F.col("source"), "title": first_line, "description": F.col("lang"), "content": F.col("text")}
+        _INDEXES[key] = search.build_index(table(spark, d, "documents"), "doc_id", fields, {"n_chars": F.col("n_chars")}, stems=False)
+    return _INDEXES[key]
+
+
+@register(f"SELECT DISTINCT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tok('source')} || {_tok('split_part(text, chr(10), 1)')} || {_tok('lang')} || {_tok('text')}) AS term FROM documents) GROUP BY term")
+def search_index_terms(spark, d):
+    return _index(spark, d).terms.select("term", "df")
+
+
+@register(f"WITH {_hits_sql(_TERMS)} SELECT id, domain, bm25, len FROM hits ORDER BY bm25 DESC, id LIMIT 20")
 def search_bm25_topk(spark, d):
-    docs = table(spark, d, "documents")
-    return search.bm25(docs, search.parse_query(_TERMS), "doc_id", F.col("text")).orderBy(F.desc("bm25"), "id").limit(20)
+    return search.matches(_index(spark, d), search.parse_query(_TERMS)).orderBy(F.desc("bm25"), "id").limit(20)
 
 
-@register(f"""WITH {_bm25_sql(['the', 'of'])}, page AS (SELECT * FROM hits ORDER BY bm25 DESC, id LIMIT 10 OFFSET 5)
-SELECT id, bm25, len, {_r("bm25 + 4.0 * ((CASE WHEN contains(lower(left(text, 40)), 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(left(text, 40)), 'of') THEN 1 ELSE 0 END)) + floor(log2(1.0 + id % 7) * 1.5 * 1e2 + 0.5) / 1e2 + CASE WHEN id % 60 < 7 THEN 2.0 WHEN id % 60 < 30 THEN 1.0 ELSE 0.0 END", 2)} AS score FROM page""")
+@register(f"""WITH {_hits_sql("the of")}, page AS (SELECT * FROM hits ORDER BY bm25 DESC, id LIMIT 10 OFFSET 5)
+SELECT id, bm25, len, {_r("bm25 + 4.0 * ((CASE WHEN contains(lower(title), 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(title), 'of') THEN 1 ELSE 0 END)) + floor(log2(1.0 + id % 7) * 1.5 * 1e2 + 0.5) / 1e2 + CASE WHEN id % 60 < 7 THEN 2.0 WHEN id % 60 < 30 THEN 1.0 ELSE 0.0 END", 2)} AS score FROM page""")
 def search_two_stage_rerank(spark, d):
-    docs = table(spark, d, "documents")
-    query = search.parse_query("the of")
-    titles = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"))
-    first = search.bm25(docs, query, "doc_id", F.col("text")).orderBy(F.desc("bm25"), "id").offset(5).limit(10)
-    return search.rerank(first.join(titles, "id"), query.terms, F.col("title"), F.col("id") % 7, F.col("id") % 60).drop("title")
+    return search.two_stage(_index(spark, d), search.parse_query("the of"), 10, 5, F.col("id") % 7, F.col("id") % 60).select("id", "bm25", "len", "score")
 
 
-@register(f"WITH {_bm25_sql(['and', 'with'], ['license'])} SELECT id, bm25, len FROM hits")
+@register(f"WITH {_hits_sql('and AND with NOT license')} SELECT id, domain, bm25, len FROM hits")
 def search_boolean_filter(spark, d):
-    return search.bm25(table(spark, d, "documents"), search.parse_query("and AND with NOT license"), "doc_id", F.col("text"))
+    return search.matches(_index(spark, d), search.parse_query("and AND with NOT license"))
+
+
+_PHRASE = '"of the" that'
+
+
+@register(f"WITH {_hits_sql(_PHRASE)} SELECT id, domain, bm25, len FROM hits")
+def search_phrase(spark, d):
+    return search.matches(_index(spark, d), search.parse_query(_PHRASE))
+
+
+@register(f"WITH {_hits_sql('the', " AND (domain = 'src1' OR contains(lower(domain), 'src1'))")} SELECT id, domain, bm25, len FROM hits")
+def search_site(spark, d):
+    return search.matches(_index(spark, d), search.parse_query("the site:www.src1"))
+
+
+@register(f"WITH {_hits_sql('src2 OR fr et -license')} SELECT id, domain, bm25, len FROM hits")
+def search_fielded(spark, d):
+    return search.matches(_index(spark, d), search.parse_query("src2 OR fr et -license"))
+
+
+@register("SELECT doc_id AS id, n_chars, 1e0 AS score FROM documents WHERE source = 'src2' OR contains(lower(source), 'src2') ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 3")
+def search_browse(spark, d):
+    return search.browse(_index(spark, d), "n_chars", 3, 10, "src2").select("id", "n_chars", "score")
+
+
+@register(rf"""WITH f AS (SELECT doc_id, text, string_split_regex(trim(text), '\s+') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g') IN ('license', 'licence'))) > 0 THEN 'found' ELSE coalesce(nullif(left(text, 0), ''), 'Document content matched query terms.') END AS shown FROM f""")
+def search_snippet(spark, d):
+    """Whether a window with a marked term is shown, or the fallback."""
+    shown = search.snippet(F.col("text"), ("license", "licence"), fallback=F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.when(shown.contains("<mark>"), "found").otherwise(shown).alias("shown"))
 
 
 @register("SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages, sum(n_chars)::BIGINT AS chars FROM documents")
@@ -121,29 +184,50 @@ def page_classify(spark, d):
     return table(spark, d, "pages").select("page_id", T.site_kind(u).alias("site_kind"), T.page_kind(u, F.lit("")).alias("page_kind"))
 
 
-@register(r"""WITH l AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"#]+)"', 1)) AS href FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END AS to_url, count(*) AS n FROM l GROUP BY ALL""")
+@register(rf"""WITH l AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '{pages.HREF.replace("'", "''")}', 1)) AS href FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href WHEN starts_with(href, '/') THEN site || href WHEN starts_with(href, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || href
+  ELSE site || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/|/)', 1), ''), '/') || regexp_replace(href, '^(\./)+', '') END AS to_url, count(*) AS n FROM l WHERE NOT regexp_matches(lower(href), '^(javascript|mailto|tel|data):') GROUP BY ALL""")
 def link_extract(spark, d):
     return pages.link_rows(table(spark, d, "pages"), "page_id", "url", "html").groupBy("page_id", "to_url").agg(F.count("*").alias("n"))
 
 
-@register(rf"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), d AS (SELECT host, count(*) AS inbound FROM p GROUP BY host)
+@register(rf"""WITH p AS (SELECT page_id, {_HOST} AS from_host FROM pages), l AS (SELECT from_host, CASE WHEN len(string_split(from_host, '.')) <= 2 THEN from_host ELSE array_to_string(string_split(from_host, '.')[-2:], '.') END AS host FROM p),
+d AS (SELECT host, count(*) AS inbound FROM l WHERE from_host <> host GROUP BY host)
 SELECT host, inbound, {_r("log2(1.0 + inbound) * 1.5", 2)} AS boost FROM d""")
 def inbound_authority(spark, d):
-    each = table(spark, d, "pages").select(T.host(F.col("url")).alias("to_host"), F.lit("").alias("from_host"))
+    """Pages of a host's parts count as links to the host."""
+    each = table(spark, d, "pages").select(T.host(F.col("url")).alias("from_host"), T.registrable(F.col("url")).alias("to_host"))
     return pages.inbound(each)
 
 
-@register(r"""WITH a AS (SELECT page_id,
-  CASE WHEN regexp_matches(html, '(?i)<title[^>]*>[^<]+</title>') THEN 20 ELSE 0 END AS has_title,
-  CASE WHEN regexp_matches(html, '(?i)<meta\s[^>]*name="description"') THEN 20 ELSE 0 END AS has_description,
-  CASE WHEN len(regexp_extract_all(html, '(?i)<h1[\s>]')) = 1 THEN 20 ELSE 0 END AS has_one_h1,
-  CASE WHEN regexp_matches(html, '(?i)<meta\s[^>]*name="viewport"') THEN 10 ELSE 0 END AS has_viewport,
-  CASE WHEN regexp_matches(html, '(?i)<link\s[^>]*rel="canonical"') THEN 10 ELSE 0 END AS has_canonical,
-  CASE WHEN regexp_matches(html, '(?i)<html\s[^>]*lang=') THEN 10 ELSE 0 END AS has_lang,
-  CASE WHEN regexp_matches(html, '(?i)<a\s[^>]*?href="([^"#]+)"') THEN 10 ELSE 0 END AS has_links FROM pages),
-s AS (SELECT *, has_title + has_description + has_one_h1 + has_viewport + has_canonical + has_lang + has_links AS seo_score FROM a)
-SELECT *, CASE WHEN seo_score >= 80 THEN 'excellent' WHEN seo_score >= 60 THEN 'good' WHEN seo_score >= 40 THEN 'fair' ELSE 'poor' END AS rating FROM s""")
+def _has(pattern: str) -> str:
+    return f"regexp_matches(html, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def _count(pattern: str, of: str = "html") -> str:
+    return f"len(regexp_extract_all({of}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+def _content_sql(name: str) -> str:
+    tag = pages._META.format(name).replace("'", "''")
+    return f"""trim(regexp_extract(regexp_extract(html, '{tag}', 0), '(?i)content=["'']([^"'']*)', 1))"""
+
+
+_AUDIT_SQL = rf"""WITH x AS (SELECT page_id, html, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS name, {_content_sql("description")} AS about, {_count(r"(?i)<h1[\s>]")} AS n_h1,
+  {" + ".join(f"(CASE WHEN {_has(pages._META.format(f'og:{p}'))} THEN 1 ELSE 0 END)" for p in ("title", "description", "image"))} AS n_og, {_count(r"(?i)<img[\s>]")} AS images,
+  {_count(r"(?i)<img[\s>]")} - {_count(r"""(?i)<img\s[^>]*alt=["'][^"']""")} AS missing,
+  {_count(r"\S+", "regexp_replace(regexp_replace(html, '" + pages.TEXT_BETWEEN + "', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS words FROM pages),
+s AS (SELECT page_id, CASE WHEN length(name) BETWEEN 10 AND 70 THEN 100 WHEN name <> '' THEN 75 ELSE 0 END AS title_score, CASE WHEN length(about) BETWEEN 50 AND 165 THEN 100 WHEN about <> '' THEN 70 ELSE 0 END AS description_score,
+  CASE WHEN n_h1 = 1 THEN 100 WHEN n_h1 > 1 THEN 80 ELSE 0 END AS h1_score, CASE WHEN {_has(pages._META.format("viewport"))} THEN 100 ELSE 0 END AS viewport_score, CASE WHEN {_has(r"""(?i)<link\s[^>]*rel=["']canonical["']""")} THEN 100 ELSE 60 END AS canonical_score,
+  CASE WHEN n_og = 3 THEN 100 WHEN n_og >= 1 THEN 70 ELSE 30 END AS og_score, CASE WHEN missing <= 0 THEN 100 ELSE greatest(20, CAST(floor((1e0 - missing / CAST(images AS DOUBLE)) * 100) AS INT)) END AS alt_score,
+  CASE WHEN contains(lower({_content_sql("robots")}), 'noindex') THEN 50 ELSE 100 END AS robots_score,
+  (CASE WHEN {_has(r"""(?i)<script[^>]*type=["']application/ld\+json["']""")} THEN 35 ELSE 0 END) + (CASE WHEN words >= 500 THEN 25 WHEN words >= 200 THEN 15 ELSE 0 END)
+  + (CASE WHEN {_has(r"(?is)<h[23][^>]*>[^<]*\?\s*</h[23]>")} OR contains(html, 'FAQPage') THEN 20 ELSE 0 END) + (CASE WHEN {_has(r"(?i)<(?:table|ul|ol)[\s>]")} THEN 20 ELSE 0 END) AS aeo_score FROM x),
+t AS (SELECT *, CAST(floor((title_score + description_score + h1_score + viewport_score + canonical_score + og_score + alt_score + robots_score + aeo_score) / 9e0) AS INT) AS seo_score FROM s)
+SELECT *, CASE WHEN seo_score >= 90 THEN 'Excellent' WHEN seo_score >= 70 THEN 'Good' ELSE 'Needs Improvement' END AS rating FROM t"""
+
+
+@register(_AUDIT_SQL)
 def seo_audit(spark, d):
     return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in pages.audit(F.col("html")).items()])
 
@@ -154,7 +238,7 @@ def page_parse(spark, d):
     return parsed.select("page_id", "p.title", "p.description", "p.n_words", "p.headings", "p.images", F.size("p.links").alias("n_links"))
 
 
-@register()
+@register("SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(html), {chr(39)}{t}{chr(39)})' for t in texts)} THEN '{name}' END" for name, texts in pages.TECHNOLOGIES.items()) + "], lambda x: x IS NOT NULL), ',') AS technologies FROM pages")
 def page_technologies(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(pages.technologies(F.col("html")), ",").alias("technologies"))
 
@@ -172,10 +256,10 @@ def name_key_normalize(spark, d):
     return table(spark, d, "part").select("p_partkey", T.company_key(F.col("p_name")).alias("name_key"), F.upper(F.substring("p_name", 1, 1)).alias("initial"))
 
 
-@register("""WITH k AS (SELECT s_suppkey AS id, 'n' || s_nationkey || ':' || CAST(floor(s_acctbal / 500) AS BIGINT) AS key FROM supplier)
+@register("""WITH k AS (SELECT s_suppkey AS id, 'n' || s_nationkey || ':' || CAST(floor(s_acctbal / 5000) AS BIGINT) AS key FROM supplier)
 SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.key = b.key AND a.id < b.id""")
 def blocking_pairs(spark, d):
-    key = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(":"), F.floor(F.col("s_acctbal") / 500).cast("string"))
+    key = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(":"), F.floor(F.col("s_acctbal") / 5000).cast("string"))
     return resolution.candidate_pairs(table(spark, d, "supplier"), "s_suppkey", F.array(key))
 
 
@@ -204,11 +288,11 @@ def priority_dedupe_merge(spark, d):
     return resolution.merge_by_priority(docs, [F.col("h")], "doc_id", ["source"], ["lang"]).withColumn("langs", F.array_join("langs", ","))
 
 
-@register("""WITH RECURSIVE r AS (SELECT o_orderkey AS source, max_by(o_orderkey // 2, o_orderdate) AS target FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1),
+@register("""WITH RECURSIVE r AS (SELECT o_orderkey AS source, max_by(o_orderkey // 2, o_orderdate) AS target FROM orders GROUP BY 1),
 walk AS (SELECT source, target, 1 AS hops FROM r UNION ALL SELECT w.source, r.target, w.hops + 1 FROM walk w JOIN r ON r.source = w.target WHERE w.hops < 10 AND r.target <> w.source)
 SELECT source, max_by(target, hops) AS target, CAST(max(hops) AS INT) AS hops FROM walk GROUP BY source""")
 def merge_redirects(spark, d):
-    redirects = table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("source"), F.expr("o_orderkey div 2").alias("target"), F.col("o_orderdate").alias("at"))
+    redirects = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.expr("o_orderkey div 2").alias("target"), F.col("o_orderdate").alias("at"))
     return resolution.follow_redirects(redirects)
 
 
@@ -328,7 +412,7 @@ _COMPONENT_SQL = f"""WITH c AS (SELECT c_custkey AS id, c_nationkey AS account,
   CAST(c_custkey % 400 AS DOUBLE) AS company_age, CAST(c_custkey % 250 AS DOUBLE) AS employment_age,
   CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'info@firm.com' WHEN 2 THEN 'ann.lee@gmail.com' ELSE 'ann.lee@firm.com' END AS email, c_custkey % 50 = 0 AS blocked,
   CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 WHEN 'MACHINERY' THEN 0.95 WHEN 'AUTOMOBILE' THEN 0.85 ELSE 0.40 END AS seniority FROM customer),
-s AS (SELECT o_custkey AS id, sum({_r("CASE o_orderpriority WHEN '1-URGENT' THEN 0.9 * 0.8 ELSE 0.5 * 0.8 END", 3)}) AS points, count(*) AS n FROM orders WHERE o_orderkey % 8 = 0 GROUP BY o_custkey),
+s AS (SELECT o_custkey AS id, sum({_r("CASE o_orderpriority WHEN '1-URGENT' THEN 0.9 * 0.8 ELSE 0.5 * 0.8 END", 3)}) AS points, count(*) AS n FROM orders GROUP BY o_custkey),
 p AS (SELECT c.*, CASE WHEN s.points IS NULL THEN 0.0 ELSE {_r("1.0 - 1.0 / (1.0 + " + _r("s.points", 3) + " * 1.5)", 3)} END AS signal_score, CASE WHEN coalesce(s.n, 0) = 0 THEN 0.25 ELSE 1.0 END AS timing_score,
   {_r(_r("fit * 0.55", 3) + " + " + _r("verified * 0.20", 3) + " + " + _r("quality * 0.15", 3) + " + " + _r("0.5 * 0.10", 3), 3)} AS account_score,
   {_r(_r("fit * 0.45", 3) + " + " + _r("seniority * 0.30", 3) + " + " + _r("1.0 * 0.15", 3) + " + " + _r("1.0 * 0.10", 3), 3)} AS person_score,
@@ -357,7 +441,7 @@ def _components(spark, d) -> DataFrame:
         (k % 400).cast("double").alias("company_age"), (k % 250).cast("double").alias("employment_age"), F.element_at(mails, (k % 4 + 1).cast("int")).alias("email"), (k % 50 == 0).alias("blocked"), title.alias("title"),
     )
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "location_expansion").otherwise("other")
-    signals = table(spark, d, "orders").where("o_orderkey % 8 = 0").groupBy(F.col("o_custkey").alias("id")).agg(N.rnd(F.sum(scoring.signal_points(kind, F.lit(0.8))), 3).alias("points"), F.count("*").alias("n"))
+    signals = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(N.rnd(F.sum(scoring.signal_points(kind, F.lit(0.8))), 3).alias("points"), F.count("*").alias("n"))
     one = F.lit(1.0)
     return rows.join(signals, "id", "left").select(
         "*", scoring.account_score(F.col("fit"), F.col("verified"), F.col("quality"), F.lit(0), F.lit(0)).alias("account_score"), scoring.person_score(F.col("fit"), F.col("title"), one, one).alias("person_score"),
@@ -411,23 +495,25 @@ def icp_exclusions(spark, d):
     return icp.exclude(table(spark, d, "customer"), "c_custkey", {"customer": listed}, [("in_debt", icp.Criterion("c_acctbal", "lt", 0)), ("segment", icp.Criterion("c_mktsegment", "equals", "furniture"))]).select("c_custkey", "exclusion")
 
 
-@register("""WITH a AS (SELECT p_brand || ':' || p_type || ':' || p_size AS key, max(p_retailprice) AS w FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand || ':' || p_type || ':' || p_size AS key, max(p_retailprice) AS w FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@register("""WITH a AS (SELECT p_brand || ':' || p_type || ':' || p_size AS key, max(p_retailprice) AS w FROM part WHERE p_name < 'm' GROUP BY 1), b AS (SELECT p_brand || ':' || p_type || ':' || p_size AS key, max(p_retailprice) AS w FROM part WHERE p_name >= 'c' GROUP BY 1)
 SELECT coalesce(a.key, b.key) AS key, a.w AS weight_a, b.w AS weight_b, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'weight_changed' END AS change FROM a FULL JOIN b ON a.key = b.key WHERE a.w IS NULL OR b.w IS NULL OR a.w <> b.w""")
 def version_diff(spark, d):
-    of = lambda n: table(spark, d, "part").where(f"p_partkey % {n} = 0").groupBy(F.col("p_brand").alias("category"), F.col("p_type").alias("field"), F.col("p_size").cast("string").alias("operator")).agg(F.max("p_retailprice").alias("weight"))
-    return icp.diff_versions(of(2), of(3))
+    of = lambda names: table(spark, d, "part").where(names).groupBy(F.col("p_brand").alias("category"), F.col("p_type").alias("field"), F.col("p_size").cast("string").alias("operator")).agg(F.max("p_retailprice").alias("weight"))
+    return icp.diff_versions(of("p_name < 'm'"), of("p_name >= 'c'"))
 
 
 # --- relationships ---
 
+#: Edges have at least this overlap.
+_LEAST = 0.1
 _PAIR_SQL = f"""WITH o AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM o GROUP BY k),
 p AS (SELECT a.k AS a, b.k AS b, count(*) AS n_shared FROM o a JOIN o b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2),
-e AS (SELECT p.a, p.b, p.n_shared, x.n AS n_a, y.n AS n_b, {_r("p.n_shared / CAST(x.n + y.n - p.n_shared AS DOUBLE)", 3)} AS overlap FROM p JOIN n x ON x.k = p.a JOIN n y ON y.k = p.b)
+e AS (SELECT p.a, p.b, p.n_shared, x.n AS n_a, y.n AS n_b, {_r("p.n_shared / CAST(x.n + y.n - p.n_shared AS DOUBLE)", 3)} AS overlap FROM p JOIN n x ON x.k = p.a JOIN n y ON y.k = p.b WHERE p.n_shared / CAST(x.n + y.n - p.n_shared AS DOUBLE) >= {_LEAST})
 """
 
 
 def _edges(spark, d) -> DataFrame:
-    return graph.shared_pairs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+    return graph.shared_pairs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", _LEAST)
 
 
 @register(_PAIR_SQL + "SELECT * FROM e")
@@ -583,15 +669,11 @@ def session_events(spark, d):
     return streams.sessions(table(spark, d, "events"), "2 hours", "user_id")
 
 
-@register("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, floor(list_cosine_similarity(embedding, q.e) * 1e4 + 0.5) / 1e4 AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10""")
+@register("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, floor(list_cosine_similarity(q.v, e.v) * 1e4 + 0.5) / 1e4 AS similarity FROM e q, e WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
 def embedding_cosine_topk(spark, d):
-    rows = table(spark, d, "embeddings")
-    query = rows.where("vec_id = 0").select("embedding").first()[0]
-    given = F.array(*[F.lit(float(x)) for x in query])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    e = F.col("embedding")
-    similarity = N.rnd(dot(e, given) / F.sqrt(dot(e, e.cast("array<double>")) * F.lit(sum(float(x) ** 2 for x in query))), 4)
-    return rows.select("vec_id", similarity.alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(10)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10)
 
 
 @register("SELECT n_name, count(*) AS n_leads, count(*) FILTER (c_acctbal >= 5000) AS n_large FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -606,9 +688,11 @@ def pricing_summary(spark, d):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.floor(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + 0.5).cast("double").alias("revenue"))
 
 
-@register()
+@register("""WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL), nxt AS (SELECT a.user_id, a.ts, min(b.ts) AS next_ts FROM e a JOIN e b ON a.user_id = b.user_id AND a.ts + INTERVAL 2 HOUR <= b.ts GROUP BY ALL),
+walk AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT w.user_id, n.next_ts FROM walk w JOIN nxt n ON n.user_id = w.user_id AND n.ts = w.ts)
+SELECT v.event_id, v.user_id, v.ts, w.ts IS NOT NULL AND v.event_id = e.event_id AS dispatched FROM events v JOIN e ON e.user_id = v.user_id AND e.ts = v.ts LEFT JOIN walk w ON w.user_id = v.user_id AND w.ts = v.ts""")
 def throttled_alerts(spark, d):
-    return rollups.throttle(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 7200)
+    return rollups.throttle(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 7200, "event_id")
 
 
 # --- extraction and the nightly run ---
@@ -626,7 +710,7 @@ def digital_presence(spark, d):
     return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in extract.presence(F.col("html")).items()])
 
 
-@register("""SELECT page_id, length(html) < 150 OR regexp_matches(lower(html), 'just a moment|verify you are human|captcha|access denied|enable javascript and cookies|attention required') AS is_challenge FROM pages""")
+@register("SELECT page_id, length(trim(html)) < 150 OR " + " OR ".join(f"contains(lower(html), '{t}')" for t in extract.CHALLENGES) + " AS is_challenge FROM pages")
 def challenge_pages(spark, d):
     return table(spark, d, "pages").select("page_id", extract.challenge(F.col("html")).alias("is_challenge"))
 
@@ -638,10 +722,10 @@ def child_hydrate(spark, d):
     return full.select("c_custkey", F.transform("orders", lambda o: F.concat(o["o_orderkey"].cast("string"), o["o_orderstatus"])).alias("children"))
 
 
-@register(f"""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 365 DAY)""")
+@register(f"""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 60 DAY)""")
 def fresh_skip(spark, d):
     seen = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    return pipeline.not_fresh(table(spark, d, "customer").select("c_custkey"), seen, "c_custkey", "o_orderdate", _at(ORDERS_AS_OF), 365)
+    return pipeline.not_fresh(table(spark, d, "customer").select("c_custkey"), seen, "c_custkey", "o_orderdate", _at(ORDERS_AS_OF), 60)
 
 
 @register(f"""SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'P0' WHEN c_acctbal / 10000 >= 0.8 OR c_custkey % 6 = 0 THEN 'P1' WHEN c_custkey % 3 = 0 THEN 'P2' ELSE 'P3' END AS tier FROM customer""")
@@ -672,10 +756,10 @@ def circuit_breaker(spark, d):
     return pipeline.circuit(calls, "event_type", "ts", "ok")
 
 
-@register("""SELECT n_name, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'an') AND c_acctbal >= 9000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')""")
+@register("""SELECT n_name, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') AND c_acctbal >= 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')""")
 def lead_filter(spark, d):
-    rows = table(spark, d, "customer").where((F.col("c_acctbal") >= 9000) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    return rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.lower("n_name").contains("an")).select("n_name", "c_custkey", "c_acctbal")
+    rows = table(spark, d, "customer").where((F.col("c_acctbal") >= 5000) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.lower("n_name").contains("nation_1")).select("n_name", "c_custkey", "c_acctbal")
 
 
 @register("""SELECT p.n_name AS customer_nation, s.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation p ON c_nationkey = p.n_nationkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY 1, 2""")

@@ -2,18 +2,104 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantor.functions.text import host
+from vantor.functions.text import company_key, fingerprint, host
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+class Scratch:
+    """Tables written once in the folder that ``spark.checkpoint.dir`` names, to cut lineage; :meth:`drop` removes them.
+
+    A local session without that setting gets a folder of its own, which goes when Python ends.
+    """
+
+    _own: dict[str, str] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            app = spark.sparkContext.applicationId
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            if app not in self._own:
+                folder = tempfile.mkdtemp(prefix="vantor-scratch-")
+                atexit.register(shutil.rmtree, folder, True)
+                self._own[app] = f"file://{folder}"
+            named = self._own[app]
+        self.folder = f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, rows: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        writer = rows.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def point_lookup(rows: DataFrame, key: Column, value, text: str) -> DataFrame:
+    """The rows of one key with the length of a text column (null: 0); the filter reaches the scan."""
+    return rows.where(key == F.lit(value)).withColumn(f"{text}_length", F.length(F.coalesce(F.col(text), F.lit(""))))
+
+
+def write_content(pages: DataFrame, path: str, key_parts: list[str], content: str) -> DataFrame:
+    """Stores content once under its hash, and returns ``object_key, content_hash, size`` of each row; what is there already isn't written again."""
+    hashed = pages.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256))
+    named = hashed.withColumn("shard", F.substring("content_hash", 1, 2))
+    try:
+        known = pages.sparkSession.read.parquet(path).select("content_hash")
+    except AnalysisException:
+        known = None
+    new = named.dropDuplicates(["content_hash"])
+    new = new.join(known, "content_hash", "left_anti") if known is not None else new
+    new.select("content_hash", F.col(content).alias("content"), "shard").write.mode("append").partitionBy("shard").option("compression", "zstd").parquet(path)
+    return named.select(*key_parts, F.concat_ws("/", "shard", "content_hash").alias("object_key"), "content_hash", F.length(F.coalesce(F.col(content), F.lit(""))).alias("size"))
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table as Parquet in a folder of its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def migrate_companies(old: DataFrame, name: str, website: str, city: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of an old company table as canonical companies and their domains; rows of one host become one company."""
+    keyed = old.withColumn("name_key", company_key(F.col(name))).withColumn("domain", F.nullif(host(F.col(website)), F.lit("")))
+    key = F.coalesce(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("n:"), "name_key"))
+    rows = keyed.withColumn("_key", key).where("name_key <> ''")
+    parts = [F.min(name).alias("canonical_name"), F.min("name_key").alias("name_key"), F.min("domain").alias("primary_domain"), F.count("*").alias("n_merged")]
+    if city:
+        parts.append(F.min(city).alias("city"))
+    companies = rows.groupBy("_key").agg(*parts).select(fingerprint(F.col("_key"), length=16).alias("company_id"), "*").drop("_key")
+    domains = companies.where("primary_domain IS NOT NULL").select(F.col("primary_domain").alias("domain"), "company_id", F.lit(True).alias("is_primary"))
+    return companies, domains
+
+
+def first_contact(companies: DataFrame, contacts: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """Companies with the fields of their first contact, flat, as a CSV holds them."""
+    one = contacts.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_c")).select(key, *[F.col(f"_c.{f}").alias(f"contact_{f}") for f in fields])
+    return companies.join(one, key, "left")
+
+
 def _one_per_host(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("host").orderBy("line")
     return rows.where("host <> ''").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
