@@ -1,10 +1,12 @@
 """Set-level operators on small tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from vantor.operators import extract, facts, graph, history, icp, pipeline, resolution, rollups
+from vantor.functions import markup
+from vantor.operators import extract, facts, graph, history, icp, identity, pages, pipeline, resolution, rollups, search, vectors
 from vantor.sources import tables
 from vantor.streaming import events as streams
 
@@ -111,3 +113,98 @@ def test_circuit_opens_and_tries_again(spark):
     calls = [("m", T0 + dt.timedelta(seconds=s), ok) for s, ok in [*((i, False) for i in range(5)), (6, True), (40, True), (41, True)]]
     got = [r.state for r in pipeline.circuit(spark.createDataFrame(calls, "m string, ts timestamp, ok boolean"), "m", "ts", "ok").orderBy("ts").collect()]
     assert got == ["closed"] * 5 + ["open", "half_open", "closed"]
+
+
+def test_keep_first_is_sequential(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice(["", None, *"abcdef"]), r.choice(["", *"uvwxyz"]), f"{r.randrange(30)}") for i in range(150)]
+    seen, kept = [set(), set(), set()], []
+    for i, *keys in rows:
+        known = [k for k in keys]
+        if not any(k and k in s for k, s in zip(known, seen, strict=True)):
+            kept.append(i)
+            for k, s in zip(known, seen, strict=True):
+                if k:
+                    s.add(k)
+    frame = spark.createDataFrame(rows, "i int, a string, b string, c string")
+    assert sorted(x.i for x in identity.keep_first(frame, "i", [F.col("a"), F.col("b"), F.col("c")]).collect()) == kept
+
+
+def test_pairs_of_a_least_overlap_are_exact(spark):
+    r = random.Random(6)
+    sets = {k: {r.randrange(40) for _ in range(r.randrange(1, 20))} | {99} for k in range(40)}  # all have one item
+    frame = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "k int, i int")
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    for least in (0.0, 0.2, 0.5):
+        got = {(x.a, x.b): x.n_shared for x in graph.shared_pairs(frame, "k", "i", least).collect()}
+        assert got == {(a, b): n for (a, b), n in want.items() if n and n / len(sets[a] | sets[b]) >= least}
+
+
+def test_reach_stops_where_nothing_is_new(spark):
+    arcs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src long, dst long")
+    got = {x.node: x.depth for x in graph.reach(arcs, spark.createDataFrame([(1,)], "node long"), 50).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+
+
+def test_selectors():
+    root = markup.parse("""<html><head><title> A &amp; B </title></head><body><div id="x" class="card big"><a href="/one">One <b>1</b></a><p>p1<p>p2</div>
+        <ul><li><a href='/two' data-k="v">Two</a><li>plain</ul><script>no</script></body>""")
+    for path, want in {
+        "title::text": ["A & B"], "div.card > a::attr(href)": ["/one"], "#x p": ["p1", "p2"], "body > a": [], "ul a[data-k=v]::text": ["Two"], "a[href^='/t']": ["Two"], "li": ["Two", "plain"],
+        "//div[@id='x']/a/@href": ["/one"], "//a/text()": ["One", "Two"], "//li[2]": ["plain"], "//a[contains(@href,'tw')]": ["Two"], ".none": [], "b, title": ["1", "A & B"],
+    }.items():
+        assert markup.select(root, path) == want, path
+    assert markup.select(markup.parse(""), "a") == [] and markup.parse("<a" * 3000)
+
+
+def test_cards_and_features(spark):
+    html = "<div class='Team-member'><h3>Ann Lee</h3><span>Co-Founder &amp; CEO</span></div><div class=profile>Bo Ray <i>Store Manager</i></div><h2>Short</h2><h2>What the product does for you</h2><h3>Our cookie rules are long</h3>"
+    got = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(markup.contact_cards("h").alias("c"), markup.features("h").alias("f")).collect()
+    assert [(c.name, c.title, c.tier) for c in got[0].c] == [("Ann Lee", "Founder", "Tier 1"), ("Bo Ray", "Store Manager", "Tier 2")]
+    assert got[0].f == ["What the product does for you"] and got[1].c == [] and got[2].f == []
+
+
+def test_links_keep_fragments_quotes_and_folders(spark):
+    html = """<a href="/a#top">x</a><A class=b href='c.html'>y</A><a href=//o.org/d>z</a><a href="#only">n</a><a href="mailto:x@y.z">m</a><a href="?q=1">q</a><a href="http://p.net/e">e</a>"""
+    rows = pages.link_rows(spark.createDataFrame([(1, "https://www.s.com/f/g?h", html)], "i int, u string, h string"), "i", "u", "h").orderBy("place").collect()
+    assert [x.to_url for x in rows] == ["https://www.s.com/a", "https://www.s.com/f/c.html", "https://o.org/d", "https://www.s.com/f/g?q=1", "http://p.net/e"]
+    assert pages.frontier(pages.link_rows(spark.createDataFrame([(1, "https://s.com/", '<a href="/about-us">x</a><a href="/z">')], "i int, u string, h string"), "i", "u", "h")).count() == 1
+
+
+def test_search_with_stems_phrases_and_upserts(spark):
+    rows = [(1, "a.org", "Running shoes", "", "He was running in new shoes. The résumé."), (2, "b.org", "Runs", "", "Nothing runs here"), (3, "www.a.org", None, None, "new running"), (4, "c.org", "", "", None)]
+    docs = spark.createDataFrame(rows, "id int, domain string, title string, description string, content string")
+    index = search.build_index(docs, "id", {f: F.col(f) for f in search.FIELDS}, stems=True, shards=4)
+    ids = lambda q, **o: sorted(r.id for r in search.matches(index, search.parse_query(q), **o).collect())
+    assert ids("runs") == [1, 2, 3] and ids('"running shoes"') == [1] and ids("running site:a.org") == [1, 3] and ids("running NOT shoe") == [2, 3]
+    assert ids("resume OR nothing") == [1, 2] and ids("missing") == [] and ids("new shoes", domain="a.org") == [1] and ids("") == []
+    assert index.n == 4 and [r.id for r in search.browse(index, "len", limit=1).collect()] == [1]
+    old, new = docs.select("id", "domain"), spark.createDataFrame([(9, "b.org"), (1, "z.org")], "id int, domain string")
+    assert sorted((r.id, r.domain) for r in search.upsert(old, new, "id", "domain").collect()) == [(1, "z.org"), (3, "www.a.org"), (4, "c.org"), (9, "b.org")]
+    links = spark.createDataFrame([("a/1", "a", "b/1", "b", "first")], "from_url string, from_domain string, to_url string, to_domain string, anchor string")
+    found = spark.createDataFrame([("a/1", "a", "b/1", "b", "again"), ("c/1", "c", "b/2", "b", ""), ("b/3", "b", "b/2", "b", "")], links.schema)
+    every, counted = search.upsert_links(links, found, spark.createDataFrame([("b", 0), ("q", 7)], "domain string, inbound_links long"))
+    assert every.count() == 3 and every.where("anchor = 'first'").count() == 1 and {r.domain: r.inbound_links for r in counted.collect()} == {"b": 2, "q": 7}
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    monkeypatch.setattr(vectors, "ROWS", 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, 1.0])], "i long, v array<float>").repartition(3)
+    got = {(r.query_id, r.i): r.similarity for r in vectors.nearest(rows.where("i in (1, 3)"), rows, "i", "v", 2).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (3, 3): 1.0, (3, 6): 0.7071}
+    assert vectors.nearest(rows.limit(0), rows, "i", "v", 2).count() == 0
+
+
+def test_content_backup_and_migration(spark, tmp_path):
+    pages_ = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "k string, html string")
+    path = f"file://{tmp_path}/store"
+    first = tables.write_content(pages_, path, ["k"], "html").collect()
+    assert len({r.object_key for r in first}) == 2 and spark.read.parquet(path).count() == 2
+    tables.write_content(pages_, path, ["k"], "html").collect()
+    assert spark.read.parquet(path).count() == 2
+    tables.backup({"p": pages_}, f"file://{tmp_path}/b")
+    assert tables.restore(spark, f"file://{tmp_path}/b", ["p"])["p"].count() == 3
+    old = spark.createDataFrame([("Acme Inc", "https://acme.com"), ("ACME", "www.acme.com/x"), ("Other", None), ("", "z.com")], "n string, w string")
+    companies, domains = tables.migrate_companies(old, "n", "w")
+    assert sorted((r.primary_domain or "", r.n_merged) for r in companies.collect()) == [("", 1), ("acme.com", 2)] and domains.count() == 1

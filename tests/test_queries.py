@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from vantor.plans import catalog
+from vantor.plans import catalog, entities  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

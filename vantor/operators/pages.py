@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from vantor.functions.numeric import authority
-from vantor.functions.text import host
+from vantor.functions.text import host, url_path
 
 #: The target of a link in double, single or no quotes, without its fragment.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>#]+)"""
@@ -183,8 +183,12 @@ def technologies(html: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def frontier(links: DataFrame, most: int = 10) -> DataFrame:
+#: Words of addresses that tell about a site.
+TELLING = "about|contact|team|leader|people|management|company|store"
+
+
+def frontier(links: DataFrame, most: int = 10, words: str = TELLING) -> DataFrame:
     """Up to ``most`` links of a page to pages of the same host that tell about it."""
-    wanted = links.where((F.col("from_host") == F.col("to_host")) & F.lower("to_url").rlike("about|contact|team|leader|people|management|company|store"))
+    wanted = links.where((F.col("from_host") == F.col("to_host")) & F.lower(url_path(F.col("to_url"))).rlike(words))
     w = Window.partitionBy("page_id").orderBy("place")
     return wanted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
