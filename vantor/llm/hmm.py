@@ -124,6 +124,16 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT, symbols: int = SYMBOLS
     return Unigrams(int(total), int(distinct), h[order], c[order].astype(np.int64), symbol[order], min(symbols, len(h)))
 
 
+def _stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring sizes together, up to about ``most``."""
+    lo, n = 0, 0
+    for k, size in enumerate(sizes):
+        n += size
+        if n >= most or k + 1 == len(sizes):
+            yield lo, k + 1
+            lo, n = k + 1, 0
+
+
 @dataclass
 class HiddenMarkov:
     """``emit`` has a state's probabilities relative to the symbols' overall shares, one row for each symbol."""
@@ -149,60 +159,61 @@ class HiddenMarkov:
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left") if len(sizes) else np.zeros(0, np.int64)
         return order, at, live
 
-    def forward(self, symbols: np.ndarray, lengths: np.ndarray, keep: bool = False):
+    def forward(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of each document's likelihood relative to the shares of its symbols; scaled at each step."""
         order, at, live = self._layout(lengths)
-        out, alphas, scales = np.zeros(len(lengths)), [], []
-        alpha = None
+        ones = np.ones(len(self.start), self.emit.dtype)
+        out, alpha = np.zeros(len(lengths)), None
         for t, n in enumerate(live.tolist()):
-            b = self.emit[symbols[at[:n] + t]]
-            alpha = (self.start if alpha is None else alpha[:n] @ self.move) * b
-            scale = alpha.sum(1)
+            alpha = (self.start if alpha is None else alpha[:n] @ self.move) * self.emit[symbols[at[:n] + t]]
+            scale = alpha @ ones
             alpha /= scale[:, None]
             out[:n] += np.log10(scale)
-            if keep:
-                alphas.append(alpha)
-                scales.append(scale)
         found = np.empty(len(lengths))
         found[order] = out
-        return (found, order, at, live, alphas, scales) if keep else found
+        return found
 
     def expect(self, symbols: np.ndarray, lengths: np.ndarray, cells: np.ndarray | None = None, n_cells: int = 0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood and expected counts of starts, moves and emissions; those of emissions by the tokens' ``cells`` if given, else by symbol."""
+        """Log-likelihood and expected counts of starts, moves and emissions; those of emissions by the tokens' ``cells`` if given, else by symbol.
+
+        Forward probabilities are scaled at each step. Going back, those of the states given the whole text follow from them
+        and from what each step had predicted for the next one, so emissions are looked up once.
+        """
         if cells is None:
             cells, n_cells = symbols, len(self.shares)
-        half = HiddenMarkov(*(v.astype(np.float32) for v in (self.start, self.move, self.emit)), self.shares)
-        found, _, at, live, alphas, scales = half.forward(symbols, lengths, keep=True)
         states = len(self.start)
+        start, move, emit = (v.astype(np.float32) for v in (self.start, self.move, self.emit))
         moves, emits, starts = np.zeros((states, states)), np.zeros((n_cells, states)), np.zeros(states)
-        gammas, places, waiting = [], [], 0
-        beta = np.ones((0, states), np.float32)
-
-        def add():
-            gamma, place = np.concatenate(gammas), np.concatenate(places)
+        if not len(symbols):
+            return 0.0, starts, moves, emits
+        _, at, live = self._layout(lengths)
+        steps = live.tolist()
+        ones, total = np.ones(states, np.float32), 0.0
+        alphas, predicted = [], []
+        pred = np.broadcast_to(start, (steps[0], states))
+        for t, n in enumerate(steps):
+            if t:
+                pred = alphas[-1][:n] @ move
+            alpha = pred * emit[symbols[at[:n] + t]]
+            scale = alpha @ ones
+            alpha /= scale[:, None]
+            total += float(np.log10(scale, dtype=np.float64).sum())
+            alphas.append(alpha)
+            predicted.append(pred)
+        back = np.ascontiguousarray(move.T)
+        for t in range(len(steps) - 2, -1, -1):
+            m = steps[t + 1]
+            ratio = alphas[t + 1] / predicted[t + 1]
+            predicted[t + 1] = None
+            moves += alphas[t][:m].T @ ratio
+            alphas[t][:m] *= ratio @ back
+        starts += alphas[0].sum(0, dtype=np.float64)
+        for lo, hi in _stretches(steps, 1 << 18):
+            gamma = np.concatenate(alphas[lo:hi]).T
+            place = np.concatenate([cells[at[:n] + t] for t, n in enumerate(steps[lo:hi], lo)])
             for k in range(states):
-                emits[:, k] += np.bincount(place, gamma[:, k], n_cells)
-
-        for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            alpha = alphas[t]
-            here = np.ones((n, states), np.float32)
-            if len(beta):
-                m = len(beta)
-                ahead = beta * half.emit[symbols[at[:m] + t + 1]] / scales[t + 1][:, None]
-                moves += alpha[:m].T @ ahead
-                here[:m] = ahead @ half.move.T
-            beta = here
-            gammas.append(alpha * beta)
-            places.append(cells[at[:n] + t])
-            alphas[t] = None
-            waiting += n
-            if t == 0:
-                starts = gammas[-1].sum(0, dtype=np.float64)
-            if t == 0 or waiting > 1 << 18:
-                add()
-                gammas, places, waiting = [], [], 0
-        return float(found.sum()), starts, moves * self.move, emits
+                emits[:, k] += np.bincount(place, gamma[k], n_cells)
+        return total, starts, moves * self.move, emits
 
     def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> HiddenMarkov:
         """The next model; a few counts of the overall shares keep every probability above zero."""
