@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,11 +224,6 @@ class HiddenMarkov:
         return HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit, self.shares)
 
 
-def _hashes(spark: SparkSession, known: Unigrams) -> DataFrame:
-    """``h, symbol`` of the frequent tokens."""
-    return spark.createDataFrame(pa.table({"h": pa.array(B.signed(known.hashes)), "symbol": pa.array(known.symbols.astype(np.int32))}))
-
-
 def encode(docs: DataFrame, known: Unigrams, text_col: str = "text") -> DataFrame:
     """``docs`` without the text but with ``row`` (a number of the row), its symbols, sums over its frequent tokens, and its other tokens with their counts.
 
@@ -346,61 +341,101 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, lea
     return model, course
 
 
-def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> DataFrame:
-    """``h, g``: the expected counts of every training token in each state, from one more pass; summed in the tasks before they are shuffled."""
-    spark, own, states = encoded.sparkSession, len(model.shares) - 1, len(model.start)
-    by_symbol = np.empty(len(known.hashes), np.uint64)
-    by_symbol[known.symbols] = known.hashes
-    shared = spark.sparkContext.broadcast((model, by_symbol))
+def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tuple[np.ndarray, DataFrame]:
+    """The expected counts of every training token in each state, from one more pass: of the frequent ones by symbol, and ``h, g`` of all others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, by_symbol = shared.value
-        held_h, held_g = np.zeros(0, np.uint64), np.zeros((0, states))
+    Tasks sum before they send: the frequent ones as arrays in parts of fixed size, the others one row a token and task. One
+    shuffle brings equal parts and equal tokens together, sorted, where they are summed as they stream by.
+    """
+    spark, own, states, frequent = encoded.sparkSession, len(model.shares) - 1, len(model.start), len(known.hashes)
+    shared = spark.sparkContext.broadcast(model)
+    width = _PART * states
+
+    def lists(g: np.ndarray, of: int):
+        flat = g.ravel()
+        return pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(flat), of), len(flat)).astype(np.int32)), pa.array(flat))
 
-        def give(h, g):
-            cut = pa.array(np.arange(0, len(h) * states + 1, states, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(B.signed(h)), pa.ListArray.from_arrays(cut, pa.array(g.astype(np.float32).ravel()))], ["h", "g"])
+    def rows(part, h, g):
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(part, len(g)).astype(np.int32)), pa.array(np.broadcast_to(h, len(g)).astype(np.int64)), g], ["part", "h", "g"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        dense = np.zeros((frequent, states))
+        held_h, held_g = np.zeros(0, np.uint64), np.zeros((0, states))
+        some = False
         for symbols, lengths, held in _groups(batches, 0):
             others = [b.column(1) for b in held]
             sizes = np.concatenate([x.value_lengths().to_numpy() for x in others]).astype(np.int64)
             rare = np.concatenate([x.flatten().to_numpy() for x in others]).view(np.uint64)
-            h = np.empty(len(symbols), np.uint64)
-            common = symbols >= 0
-            h[common] = by_symbol[symbols[common]]
-            base = np.repeat(np.cumsum(sizes) - sizes, lengths)
-            h[~common] = rare[base[~common] - 1 - symbols[~common]]
-            tokens, cells = np.unique(h, return_inverse=True)
-            _, _, _, emits = model.expect(_core(symbols, own), lengths, cells, len(tokens))
-            both = np.concatenate([held_h, tokens])
-            one, place = np.unique(both, return_inverse=True)
-            g = np.concatenate([held_g, emits])
-            held_h, held_g = one, np.stack([np.bincount(place, g[:, k], len(one)) for k in range(states)], 1)
+            at = np.flatnonzero(symbols < 0)
+            base = np.repeat(np.cumsum(sizes) - sizes, lengths)[at]
+            one, place = np.unique(rare[base - 1 - symbols[at]], return_inverse=True)
+            cells = symbols.astype(np.int64)
+            cells[at] = frequent + place
+            _, _, _, emits = model.expect(_core(symbols, own), lengths, cells, frequent + len(one))
+            dense += emits[:frequent]
+            some = True
+            held_h, place = np.unique(np.concatenate([held_h, one]), return_inverse=True)
+            g = np.concatenate([held_g, emits[frequent:]])
+            held_g = np.stack([np.bincount(place, g[:, k], len(held_h)) for k in range(states)], 1)
             if len(held_h) > _HELD:
-                yield give(held_h, held_g)
+                yield rows(-1, B.signed(held_h), lists(held_g.astype(np.float32), states))
                 held_h, held_g = held_h[:0], held_g[:0]
         if len(held_h):
-            yield give(held_h, held_g)
-
-    parts = encoded.select("symbols", "rare").mapInArrow(run, "h long, g array<float>")
-    return parts.groupBy("h").agg(F.array(*[F.sum(F.get("g", F.lit(k)).cast("double")) for k in range(states)]).alias("g"))
-
-
-def emissions(tokens: DataFrame, counts: DataFrame, known: Unigrams, states: int, prior: float = PRIOR) -> tuple[DataFrame, np.ndarray]:
-    """``h, c, e``: each token's count and its probabilities in each state relative to its overall share; and those of unknown tokens.
+            yield rows(-1, B.signed(held_h), lists(held_g.astype(np.float32), states))
+        if some and frequent:
+            parts = lists(dense.astype(np.float32), width)
+            yield rows(np.arange(len(parts)), 0, parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        last_h, last_g = np.zeros(0, np.int64), np.zeros((0, states))
+        for batch in batches:
+            part, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.flatnonzero(part >= 0).tolist():
+                x = batch.column(2)[k].values.to_numpy().astype(np.float64)
+                parts[int(part[k])] = parts[int(part[k])] + x if int(part[k]) in parts else x
+            mine = batch.filter(pa.array(part < 0))
+            if not mine.num_rows:
+                continue
+            h = np.concatenate([last_h, mine.column(1).to_numpy()])
+            g = np.concatenate([last_g, mine.column(2).flatten().to_numpy().reshape(-1, states)])
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, g = h[edge], np.add.reduceat(g, edge, axis=0)
+            if len(h) > 1:
+                yield rows(-1, h[:-1], lists(g[:-1], states))
+            last_h, last_g = h[-1:], g[-1:]
+        if len(last_h):
+            yield rows(-1, last_h, lists(last_g, states))
+        for k, x in parts.items():
+            yield rows(k, 0, lists(x, len(x)))
+
+    sent = encoded.select("symbols", "rare").mapInArrow(run, "part int, h long, g array<float>")
+    found = written(sent.repartition(F.xxhash64("part", "h")).sortWithinPartitions("part", "h").mapInArrow(add, "part int, h long, g array<double>"), "hmm-states")
+    dense = found.where("part >= 0").select("part", "g").toArrow().sort_by("part").column("g").combine_chunks()  # FREQUENT tokens at most
+    flat = dense.flatten().to_numpy() if len(dense) else np.zeros(0)
+    return (flat.reshape(-1, states) if len(flat) else np.zeros((frequent, states))), found.where("part < 0").select("h", "g")
+
+
+def emissions(frequent: np.ndarray, tokens: DataFrame, counts: DataFrame, known: Unigrams, prior: float = PRIOR) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Each token's probabilities in each state relative to its overall share: of the frequent ones by symbol, ``h, c, e`` of all others, and of unknown ones.
 
     A token's states are estimated from its expected counts and ``prior`` occurrences of the average token. Together with
     one unknown token the probabilities of a state sum to one.
     """
+    states = frequent.shape[1]
     first = tokens.agg(*[F.sum(F.get("g", F.lit(k))).alias(f"s{k}") for k in range(states)]).first()
-    sums = np.array([x or 0.0 for x in first], float)
+    sums = frequent.sum(0) + np.array([x or 0.0 for x in first], float)
     overall = np.maximum(sums / sums.sum() if sums.sum() else np.full(states, 1 / states), 1e-9)
+    by_symbol = np.empty(len(known.counts))
+    by_symbol[known.symbols] = known.counts
+    mine = (frequent + prior * overall) / (by_symbol + prior)[:, None] / overall
     raw = [(F.get("g", F.lit(k)) + F.lit(float(prior * overall[k]))) / (F.col("c") + F.lit(float(prior))) / F.lit(float(overall[k])) for k in range(states)]
     joined = tokens.join(counts, "h").select("h", "c", F.array(*raw).alias("r"))
     share = (F.col("c") + 1) / F.lit(known.denominator)
     norm = joined.agg(*[F.sum(share * F.get("r", F.lit(k))).alias(f"z{k}") for k in range(states)]).first()
-    z = np.array([x or 0.0 for x in norm], float) + 1.0 / known.denominator
-    return joined.select("h", "c", F.array(*[(F.get("r", F.lit(k)) / F.lit(float(z[k]))).cast("float") for k in range(states)]).alias("e")), 1.0 / z
+    z = (by_symbol + 1) @ mine / known.denominator + np.array([x or 0.0 for x in norm], float) + 1.0 / known.denominator
+    return mine / z, joined.select("h", "c", F.array(*[(F.get("r", F.lit(k)) / F.lit(float(z[k]))).cast("float") for k in range(states)]).alias("e")), 1.0 / z
 
 
 def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple[str, ...] | None = None, states: int = STATES, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
@@ -420,12 +455,10 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple
     rows = docs.select(*[c.alias(n) for n, c in cols.items()], F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
     encoded = written(encode(rows, uni), "hmm-encoded")
     model, _ = baum_welch(encoded.where("training"), uni.symbol_shares(), states)
-    tokens = written(token_states(encoded.where("training"), model, uni), "hmm-states")
-    table, unknown = emissions(tokens, counts, uni, states)
+    dense, tokens = token_states(encoded.where("training"), model, uni)
+    common, table, unknown = emissions(dense, tokens, counts, uni)
     table = written(table, "hmm-emissions")
-    common = table.join(F.broadcast(_hashes(docs.sparkSession, uni)), "h").select("symbol", "e").toArrow().sort_by("symbol")  # FREQUENT at most
-    emit = np.concatenate([common.column("e").combine_chunks().flatten().to_numpy().reshape(-1, states) if common.num_rows else np.zeros((0, states)), unknown[None, :]])
-    shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, emit.astype(np.float64)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, np.concatenate([common, unknown[None, :]])))
     denominator = uni.denominator
 
     pairs = encoded.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("k", "x")).select("row", "k", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
