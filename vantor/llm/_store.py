@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[Table] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,10 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vantor-")
+        folder = tempfile.mkdtemp(prefix="vantor-")
+        atexit.register(shutil.rmtree, folder, True)
+        _OWN[app] = "file://" + folder
     return _OWN[app]
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer referred to, as it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Table:
     """A written DataFrame: ``df`` reads it back, ``drop`` removes its files."""
 
@@ -39,5 +51,23 @@ class Table:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once into the shared folder and read back; a lost executor costs no recomputation."""
-    return Table(df, name).df
+    """``df``, computed once into the shared folder and read back; a lost executor costs no recomputation.
+
+    The files stay until :func:`release`, as results that read them are computed later.
+    """
+    table = Table(df, name)
+    _WRITTEN.append(table)
+    return table.df
+
+
+def mark() -> int:
+    """A point after which tables are written, for :func:`release`."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Removes the files of all tables written since a mark, but for the last ``keep``; results that read them are gone too."""
+    end = len(_WRITTEN) - keep
+    for table in _WRITTEN[since:end]:
+        table.drop()
+    del _WRITTEN[since:end]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantor.llm import _bytes as B
-from vantor.llm._store import written
+from vantor.llm._store import forget, written
 
 STATES = 8
 #: Baum-Welch makes at least and at most so many passes; between, it stops when a pass gains less than TOLERANCE a token (log10).
@@ -24,8 +24,9 @@ SYMBOLS = 1 << 14
 FREQUENT = 1 << 18
 #: How many occurrences of the average token a token's own occurrences are weighed against when its states are estimated.
 PRIOR = 2.0
-#: Tokens that a task puts through the model at once.
-GROUP = 3 << 19
+#: Tokens that a task reads together, and puts through the model at once; texts of like lengths go together, as a step is taken
+#: for each token of the longest.
+GROUP, PIECE = 1 << 22, 3 << 19
 END = np.uint64(0)
 _PART = 1 << 10
 #: Tokens whose expected counts a task holds.
@@ -59,7 +60,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in B.slices(batches, text_col):
             held.append(tokens(B.Text(batch.column(0)))[1])
             n += len(held[-1])
-            if n > 2 * GROUP:
+            if n > 2 * PIECE:
                 yield give()
                 held, n = [], 0
         if n:
@@ -124,6 +125,20 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT, symbols: int = SYMBOLS
     return Unigrams(int(total), int(distinct), h[order], c[order].astype(np.int64), symbol[order], min(symbols, len(h)))
 
 
+def _pieces(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents of like lengths with about PIECE tokens together, and the places of their tokens."""
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    upto = np.cumsum(lengths[order])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIECE, "right")))
+        docs = order[lo:hi]
+        n = lengths[docs]
+        yield docs, np.repeat(begin[docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        lo = hi
+
+
 def _stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Neighbouring sizes together, up to about ``most``."""
     lo, n = 0, 0
@@ -161,6 +176,12 @@ class HiddenMarkov:
 
     def forward(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of each document's likelihood relative to the shares of its symbols; scaled at each step."""
+        found = np.empty(len(lengths))
+        for docs, mine in _pieces(lengths):
+            found[docs] = self._forward(symbols[mine], lengths[docs])
+        return found
+
+    def _forward(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         order, at, live = self._layout(lengths)
         ones = np.ones(len(self.start), self.emit.dtype)
         out, alpha = np.zeros(len(lengths)), None
@@ -182,10 +203,16 @@ class HiddenMarkov:
         if cells is None:
             cells, n_cells = symbols, len(self.shares)
         states = len(self.start)
-        start, move, emit = (v.astype(np.float32) for v in (self.start, self.move, self.emit))
-        moves, emits, starts = np.zeros((states, states)), np.zeros((n_cells, states)), np.zeros(states)
-        if not len(symbols):
-            return 0.0, starts, moves, emits
+        total, starts, moves, emits = 0.0, np.zeros(states), np.zeros((states, states)), np.zeros((n_cells, states))
+        half = tuple(v.astype(np.float32) for v in (self.start, self.move, self.emit))
+        for docs, mine in _pieces(lengths):
+            total += self._expect(half, symbols[mine], lengths[docs], cells[mine], starts, moves, emits)
+        return total, starts, moves * self.move, emits
+
+    def _expect(self, half, symbols, lengths, cells, starts, moves, emits) -> float:
+        """Adds the expected counts (of moves without the model's own) to the arrays; the log-likelihood."""
+        start, move, emit = half
+        states, n_cells = len(start), len(emits)
         _, at, live = self._layout(lengths)
         steps = live.tolist()
         ones, total = np.ones(states, np.float32), 0.0
@@ -213,7 +240,7 @@ class HiddenMarkov:
             place = np.concatenate([cells[at[:n] + t] for t, n in enumerate(steps[lo:hi], lo)])
             for k in range(states):
                 emits[:, k] += np.bincount(place, gamma[k], n_cells)
-        return total, starts, moves * self.move, emits
+        return total
 
     def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> HiddenMarkov:
         """The next model; a few counts of the overall shares keep every probability above zero."""
@@ -352,7 +379,7 @@ def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tu
     width = _PART * states
 
     def lists(g: np.ndarray, of: int):
-        flat = g.ravel()
+        flat = g.ravel().astype(np.float32)
         return pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(flat), of), len(flat)).astype(np.int32)), pa.array(flat))
 
     def rows(part, h, g):
@@ -379,10 +406,10 @@ def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tu
             g = np.concatenate([held_g, emits[frequent:]])
             held_g = np.stack([np.bincount(place, g[:, k], len(held_h)) for k in range(states)], 1)
             if len(held_h) > _HELD:
-                yield rows(-1, B.signed(held_h), lists(held_g.astype(np.float32), states))
+                yield rows(-1, B.signed(held_h), lists(held_g, states))
                 held_h, held_g = held_h[:0], held_g[:0]
         if len(held_h):
-            yield rows(-1, B.signed(held_h), lists(held_g.astype(np.float32), states))
+            yield rows(-1, B.signed(held_h), lists(held_g, states))
         if some and frequent:
             parts = lists(dense.astype(np.float32), width)
             yield rows(np.arange(len(parts)), 0, parts)
@@ -411,9 +438,9 @@ def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tu
             yield rows(k, 0, lists(x, len(x)))
 
     sent = encoded.select("symbols", "rare").mapInArrow(run, "part int, h long, g array<float>")
-    found = written(sent.repartition(F.xxhash64("part", "h")).sortWithinPartitions("part", "h").mapInArrow(add, "part int, h long, g array<double>"), "hmm-states")
+    found = written(sent.repartition(F.xxhash64("part", "h")).sortWithinPartitions("part", "h").mapInArrow(add, "part int, h long, g array<float>"), "hmm-states")
     dense = found.where("part >= 0").select("part", "g").toArrow().sort_by("part").column("g").combine_chunks()  # FREQUENT tokens at most
-    flat = dense.flatten().to_numpy() if len(dense) else np.zeros(0)
+    flat = dense.flatten().to_numpy().astype(np.float64) if len(dense) else np.zeros(0)
     return (flat.reshape(-1, states) if len(flat) else np.zeros((frequent, states))), found.where("part < 0").select("h", "g")
 
 
@@ -455,9 +482,11 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple
     rows = docs.select(*[c.alias(n) for n, c in cols.items()], F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
     encoded = written(encode(rows, uni), "hmm-encoded")
     model, _ = baum_welch(encoded.where("training"), uni.symbol_shares(), states)
+    forget(docs.sparkSession)  # the shuffles of the passes
     dense, tokens = token_states(encoded.where("training"), model, uni)
     common, table, unknown = emissions(dense, tokens, counts, uni)
     table = written(table, "hmm-emissions")
+    forget(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, np.concatenate([common, unknown[None, :]])))
     denominator = uni.denominator
 
