@@ -283,18 +283,118 @@ def test_quality_statistics(docs, rows, none):
     assert quality.judge(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one(rows):
-    text = B.Text(pa.array([r[1] for r in rows]))
-    _, codes = quality.bigrams(text, 8)
-    lm = quality.KneserNey.fit(*np.unique(codes, return_counts=True), 8)
-    for context in {*(codes >> 8).tolist()}:
-        assert (10 ** lm.log10((context << 8) | np.arange(256))).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_bigram_counts(docs, rows):
-    model = quality.fit_model(docs)
-    _, codes = quality.bigrams(B.Text(pa.array([r[1] for r in rows])), quality.BITS)
-    assert model.codes.tolist() == np.unique(codes).tolist()
+def brute_kneser_ney(texts, least):
+    """log10 p(w | u, v) of an interpolated modified Kneser-Ney model of three words with rare n-grams cut, as a function."""
+    tri = Counter()
+    for t in texts:
+        w = [None, None, *words(lower(t))]
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+    before, times, left, right = Counter(), Counter(), Counter(), Counter()
+    for (_, v, w), c in tri.items():
+        before[v, w] += 1
+        times[v, w] += c
+    for (v, w), n in before.items():
+        left[v] += n
+        right[w] += 1
+
+    def cut(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        d = quality.discounts(n)
+        return lambda c: d[min(c, 3) - 1]
+
+    d1, d2, d3 = cut(right), cut(before), cut(tri)
+    total, size = sum(right.values()), len(right)
+    flat = sum(d1(c) for c in right.values()) / total / (size + 1)
+    p1 = {w: (c - d1(c)) / total + flat for w, c in right.items()}
+    rare = [w for w, c in right.items() if c < least]
+    share = sum(p1[w] for w in rare) / len(rare) if rare else flat
+    p1 = {w: share if w in set(rare) else x for w, x in p1.items()}
+    kept2 = {k: (c - d2(c)) / left[k[0]] for k, c in before.items() if c >= least}
+    kept3 = {k: (c - d3(c)) / times[k[:2]] for k, c in tri.items() if c >= least and times[k[:2]] >= least}
+    g2, g3 = Counter(), Counter()
+    for (v, _), x in kept2.items():
+        g2[v] += x
+    for (u, v, _), x in kept3.items():
+        g3[u, v] += x
+
+    def p(u, v, w):
+        two = kept2.get((v, w), 0) + (1 - g2[v]) * p1.get(w, share)
+        return kept3.get((u, v, w), 0) + (1 - g3[u, v]) * two
+
+    return p, list(p1), lambda u, v: (1 - g3[u, v]) * (1 - g2[v]) * flat
+
+
+def passes(text):
+    w = words(text)
+    count, again = Counter(zip(w, w[1:], w[2:], strict=False)), set()
+    for k in range(len(w) - 2):
+        if count[tuple(w[k : k + 3])] > 1:
+            again |= {k, k + 1, k + 2}
+    return not (len(w) < 50 or 100 * len(again) > 50 * len(w))
+
+
+@pytest.mark.parametrize(("least", "small"), [(1, True), (2, True), (3, False)])
+def test_perplexity_is_that_of_kneser_ney(docs, rows, least, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(quality, "BROADCAST_NGRAMS", 0)
+    monkeypatch.setattr(quality, "copies", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # each row counts
+    p, vocabulary, unknown = brute_kneser_ney([r[1] for r in rows if passes(r[1])], least)
+    for u, v in ((None, None), (None, "the"), ("the", "of"), ("a", "data"), ("never", "seen")):
+        assert sum(p(u, v, w) for w in vocabulary) + unknown(u, v) == pytest.approx(1)
+    got = {r.doc_id: r for r in quality.judge(docs.withColumn("kept", F.lit("x")), size=quality.Size(32, 8, least)).collect()}
+    some = 0
+    for i, text, *_ in rows:
+        w = [None, None, *words(lower(text))]
+        if len(w) == 2:
+            assert got[i].log_ppl is None
+            continue
+        want = -sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:], strict=False)) / (len(w) - 2)
+        assert got[i].log_ppl == pytest.approx(want, rel=1e-4), (i, text[:80])
+        some += passes(text)
+    assert some > 20
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(3)
+    for kind in (np.uint32, np.uint64):
+        for n in (0, 1, 1000):
+            x = r.integers(0, 1 << 31, n).astype(kind)
+            assert quality.unpacked(quality.packed(x), kind).tolist() == x.tolist()
+    p = r.integers(0, 1 << 48, 1000).astype(np.uint64)
+    assert quality.spread(quality.spread(p, 24), 24, back=True).tolist() == p.tolist()
+
+
+def test_both_bands_reject(spark):
+    r = random.Random(7)
+    lexicon = [f"w{i}" for i in range(3000)]
+    follow = {w: r.sample(lexicon, 12) for w in lexicon}
+
+    def prose(n=200):
+        w = [r.choice(lexicon[:50])]
+        while len(w) < n:
+            w.append(r.choice(follow[w[-1]]))
+        return w
+
+    stock = [[r.choice(lexicon) for _ in range(10)] for _ in range(40)]  # sentences that many texts have
+    clean = [" ".join(prose(170) + [x for k in r.sample(range(40), 3) for x in stock[k]]) for _ in range(700)]
+    dull = [" ".join(x for k in r.sample(range(40), 20) for x in stock[k]) for _ in range(8)]
+    shuffled = []
+    for _ in range(10):
+        w = prose()
+        r.shuffle(w)
+        shuffled.append(" ".join(w))
+    odd = [" ".join("".join(r.choice("#$%xyz") for _ in range(6)) for _ in range(200)) for _ in range(5)]
+    near = []
+    for _ in range(150):  # near copies of the first text
+        w = clean[0].split()
+        w[r.randrange(200)] = r.choice(lexicon)
+        near.append(" ".join(w))
+    texts = clean + near + [clean[1]] * 50 + shuffled + odd + dull
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = [x for x in quality.judge(frame).orderBy("doc_id").collect()]
+    assert sum(x.kept for x in got[:900]) >= 885  # copies are no plainer than their originals
+    assert all(not x.kept and not x.base_failed and x.log_ppl > x.upper for x in got[900:915])
+    assert sum(not x.kept and not x.base_failed and x.log_ppl < x.lower for x in got[915:]) == 8
 
 
 def test_quality_bands(spark):
