@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantor.llm import decontaminate, linededup, mixing, shingles, toxicity
-from vantor.llm._store import written
+from vantor.llm._store import mark, release, written
 from vantor.llm.queries import MIX_CAP, MIX_SEED, MIX_WEIGHTS, toxicity_machine
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -68,5 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = mark()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(since, keep=1)  # the stage's own tables, now that its result is written
     return docs
