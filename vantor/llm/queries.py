@@ -184,6 +184,57 @@ FROM marked GROUP BY doc_id
 """
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return quality.base_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+
+
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+tok AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+seq AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM seq WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words FROM w LEFT JOIN hit ON hit.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
+
+def hmm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express; the score to four places."""
+    base = F.floor(F.col("base_score") * 1e4 + 0.5) / 1e4
+    return op6_hmm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"))
+
+
+#: CRC-32 of the digits of an id: a table-free form, bit by bit.
+_CRC_SQL = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+HMM_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC_SQL} % 7 = 2 AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), [' end']) AS w FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(w) AS t FROM d),
+vocab AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
+total AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM vocab)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, floor(sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) * 1e4 + 0.5) / 1e4 AS base_score
+FROM tok LEFT JOIN vocab ON vocab.t = tok.t, total GROUP BY doc_id, held_out
+"""
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENSE_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+seq AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT doc_id, i - 1 AS place, CASE WHEN a = 'under' AND b = 'the' AND c = 'mit' AND e = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' AND c = 'version' AND e = '2' THEN 'apache-2' WHEN a = 'cc' AND b = 'by' AND c = 'nc' THEN 'cc-by-nc' END AS label FROM seq)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(label) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id AND label IS NOT NULL GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -196,8 +247,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeat_dedup": op8_repeat_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
+        "quality_base": quality_base,
+        "hmm_base": hmm_base,
+        "license_base": license_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_repeat_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_repeat_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "quality_base": QUALITY_BASE_SQL, "hmm_base": HMM_BASE_SQL, "license_base": LICENSE_BASE_SQL}
