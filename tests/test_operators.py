@@ -187,6 +187,14 @@ def test_search_with_stems_phrases_and_upserts(spark):
     assert every.count() == 3 and every.where("anchor = 'first'").count() == 1 and {r.domain: r.inbound_links for r in counted.collect()} == {"b": 2, "q": 7}
 
 
+def test_presence_and_caches(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5), ("b", 5), ("c", 1)], "k string, p int")
+    got = sorted((r.k, r.period, r.event) for r in rollups.presence_changes(rows, "k", "p").collect())
+    assert got == [("a", 1, "appeared"), ("a", 3, "disappeared"), ("a", 5, "reappeared"), ("b", 5, "appeared"), ("c", 1, "appeared"), ("c", 2, "disappeared")]
+    entries = spark.createDataFrame([("a", T0, 1), ("a", T0 + dt.timedelta(seconds=50), 2), ("b", T0 - dt.timedelta(seconds=500), 3)], "k string, t timestamp, v int")
+    assert [(r.k, r.v) for r in rollups.cached(entries, ["k"], "t", F.lit(T0 + dt.timedelta(seconds=60)), 100).collect()] == [("a", 2)]
+
+
 def test_nearest_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 1)
     monkeypatch.setattr(vectors, "ROWS", 2)

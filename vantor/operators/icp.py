@@ -107,3 +107,20 @@ def match_persona(people: DataFrame, title: Column, personas: list[tuple[str, st
         found.append(F.struct(F.least(F.lit(1.0), rnd(base * (1.1 if priority == 1 else 1.0), 3)).alias("s"), F.lit(name).alias("n")))
     best = F.array_max(F.array(*found))
     return people.withColumn("persona", F.when(best["s"] >= 0.50, best["n"])).withColumn("persona_score", F.when(best["s"] >= 0.50, best["s"]).otherwise(0.0))
+
+
+def needs_refresh(active: DataFrame, key: str, as_of: Column, created: str, industry: tuple[str, str], products: tuple[str, str], facts: tuple[str, str], days: int = 90) -> DataFrame:
+    """``needs_refresh, reasons`` of each profile: its age, and how the seller differs from the snapshot it was made from.
+
+    ``industry``, ``products`` (arrays) and ``facts`` (counts) name the snapshot's column and the present one; what is unknown on
+    either side doesn't count.
+    """
+    age = F.datediff(as_of.cast("timestamp"), F.col(created).cast("timestamp"))
+    old, new = (F.col(c) for c in products)
+    both = (F.size(F.coalesce(old, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(new, F.array().cast("array<string>"))) > 0)
+    reasons = F.array_compact(F.array(
+        F.when(F.col(created).isNull(), "no_active_version").when(age > days, "too_old"), F.when(F.col(industry[0]) != F.col(industry[1]), "industry_changed"),
+        F.when(both & (F.size(F.array_except(new, old)) > 0), "products_added"), F.when(both & (F.size(F.array_except(old, new)) > 0), "products_removed"),
+        F.when(F.col(facts[0]) != F.col(facts[1]), "facts_changed"),
+    ))
+    return active.select(key, (F.size(reasons) > 0).alias("needs_refresh"), reasons.alias("reasons"))

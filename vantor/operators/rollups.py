@@ -147,3 +147,33 @@ def reclaim(leases_: DataFrame, now: Column, expires: str, attempts: str, most:
     late = F.col(expires) < now
     state = F.when(late & (F.col(attempts) + 1 >= most), "failed").when(late, "pending").otherwise("leased")
     return leases_.withColumn("state", state).withColumn(attempts, F.col(attempts) + late.cast("int"))
+
+
+def progress(events: DataFrame, run: str, stage: str, ts: str, stages: tuple[str, ...]) -> DataFrame:
+    """``stages_done, percent, current, began, last_at`` of each run: the furthest of the listed stages that it has reached."""
+    place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(stage))
+    known = events.where(F.col(stage).isin(*stages))
+    out = known.groupBy(run).agg(F.countDistinct(stage).alias("stages_done"), F.max_by(stage, F.struct(place, ts)).alias("current"), F.min(ts).alias("began"), F.max(ts).alias("last_at"))
+    return out.withColumn("percent", F.floor(F.col("stages_done") * 100 / len(stages)).cast("int"))
+
+
+def cached(entries: DataFrame, key: list[str], ts: str, now: Column, seconds: int) -> DataFrame:
+    """The newest entry of each key that has not outlived its time."""
+    live = entries.where((F.col(ts) <= now) & (F.col(ts) > now - F.expr(f"INTERVAL {seconds} SECONDS")))
+    fields = [c for c in entries.columns if c not in key]
+    return live.groupBy(*key).agg(F.max_by(F.struct(*fields), ts).alias("_e")).select(*key, *[F.col(f"_e.{c}").alias(c) for c in fields])
+
+
+def presence_changes(sightings: DataFrame, key: str, period: str) -> DataFrame:
+    """``key, period, event``: ``appeared`` where a key is first seen, ``disappeared`` in the first period without it, ``reappeared`` where it is seen again.
+
+    Periods are whole numbers; one that nothing was seen in counts as a period.
+    """
+    seen = sightings.select(F.col(key), F.col(period).cast("long").alias("p")).distinct()
+    w = Window.partitionBy(key).orderBy("p")
+    last = sightings.agg(F.max(F.col(period).cast("long")).alias("_last"))
+    rows = seen.withColumn("before", F.lag("p").over(w)).withColumn("after", F.lead("p").over(w)).crossJoin(F.broadcast(last))  # one row
+    here = F.when(F.col("before").isNull(), "appeared").when(F.col("before") < F.col("p") - 1, "reappeared")
+    gone = F.when(F.coalesce("after", F.col("_last") + 1) > F.col("p") + 1, "disappeared")
+    events = F.array(F.struct(F.col("p").alias("period"), here.alias("event")), F.struct((F.col("p") + 1).alias("period"), gone.alias("event")))
+    return rows.select(key, F.inline(events)).where("event IS NOT NULL")

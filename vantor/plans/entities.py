@@ -686,3 +686,33 @@ def migrate_companies(spark, d):
 def morning_report(spark, d):
     rows = table(spark, d, "lineitem")
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("pages"), F.countDistinct("l_partkey").alias("companies"), F.count_if(F.col("l_returnflag") == "R").alias("failures"))
+
+
+_ORDERED = "WITH x AS (SELECT o_custkey, max(o_orderdate) AS made, max(o_orderstatus) FILTER (o_orderstatus <> 'P') AS i0, min(o_orderstatus) FILTER (o_orderstatus <> 'P') AS i1, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F') AS p0, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O') AS p1, count(*) FILTER (o_orderstatus = 'F') AS f0, count(*) FILTER (o_orderstatus = 'O') AS f1 FROM orders GROUP BY o_custkey)"
+
+
+@register(f"""{_ORDERED}, r AS (SELECT o_custkey, array_to_string(list_filter([CASE WHEN date_diff('day', made, TIMESTAMP '{ORDERS_AS_OF}') > 90 THEN 'too_old' END, CASE WHEN i0 <> i1 THEN 'industry_changed' END, CASE WHEN len(coalesce(p0, [])) > 0 AND len(list_filter(p1, lambda p: NOT list_contains(p0, p))) > 0 THEN 'products_added' END,
+  CASE WHEN len(coalesce(p1, [])) > 0 AND len(list_filter(p0, lambda p: NOT list_contains(p1, p))) > 0 THEN 'products_removed' END, CASE WHEN f0 <> f1 THEN 'facts_changed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM x)
+SELECT o_custkey, reasons <> '' AS needs_refresh, reasons FROM r""")
+def profile_refresh(spark, d):
+    s = F.col("o_orderstatus")
+    lists = lambda v: F.collect_set(F.when(s == v, F.col("o_orderpriority")))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("made"), F.max(F.when(s != "P", s)).alias("i0"), F.min(F.when(s != "P", s)).alias("i1"), lists("F").alias("p0"), lists("O").alias("p1"), F.count_if(s == "F").alias("f0"), F.count_if(s == "O").alias("f1"))
+    return icp.needs_refresh(rows, "o_custkey", _at(ORDERS_AS_OF), "made", ("i0", "i1"), ("p0", "p1"), ("f0", "f1")).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register("WITH x AS (SELECT user_id, event_type, ts, list_position(['view', 'click', 'signup', 'purchase'], event_type) AS k FROM events WHERE event_type <> 'error') SELECT user_id, count(DISTINCT event_type) AS stages_done, arg_max(event_type, (k, ts)) AS current, min(ts) AS began, max(ts) AS last_at, CAST(floor(count(DISTINCT event_type) * 100 / 4) AS INT) AS percent FROM x GROUP BY user_id")
+def stage_progress(spark, d):
+    return rollups.progress(table(spark, d, "events"), "user_id", "event_type", "ts", ("view", "click", "signup", "purchase"))
+
+
+@register(f"SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 86400 SECOND GROUP BY user_id")
+def ttl_cache(spark, d):
+    return rollups.cached(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", _at(AS_OF), 86400)
+
+
+@register("""WITH s AS (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS p FROM events), w AS (SELECT user_id, p, lag(p) OVER (PARTITION BY user_id ORDER BY p) AS b, lead(p) OVER (PARTITION BY user_id ORDER BY p) AS a, max(p) OVER () AS l FROM s)
+SELECT user_id, p AS period, CASE WHEN b IS NULL THEN 'appeared' ELSE 'reappeared' END AS event FROM w WHERE b IS NULL OR b < p - 1 UNION ALL SELECT user_id, p + 1, 'disappeared' FROM w WHERE coalesce(a, l + 1) > p + 1""")
+def presence_changes(spark, d):
+    rows = table(spark, d, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")))
+    return rollups.presence_changes(rows, "user_id", "day")
