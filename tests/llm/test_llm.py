@@ -556,6 +556,36 @@ def test_repeats_small_alphabet(spark):
     assert all((bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("most_classes", [20_000, 1])
+def test_repeat_groups_have_all_occurrences(spark, most_classes):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passages = [" ".join(word() for _ in range(n)) for n in (16, 20, 40)]
+    texts = [" ".join(r.choice([word(), word(), r.choice(passages)]) for _ in range(r.randrange(3, 25))) for _ in range(25)]
+    texts += [texts[0], None, "", texts[1] + "x"]
+    frame = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    groups = {}
+    for g in repeats.repeat_groups(frame, most_classes=most_classes).collect():
+        groups.setdefault((g.g1, g.g2, g.length), set()).add((g.doc, g.start))
+    raw = [(t or "").encode() for t in texts]
+    for (_, _, n), places in groups.items():
+        assert n >= 100 and len(places) > 1 and len({raw[d][a : a + n] for d, a in places}) == 1 and all(len(raw[d][a : a + n]) == n for d, a in places)
+    windows = {}
+    for d, t in enumerate(raw):
+        for a in range(len(t) - 99):
+            windows.setdefault(t[a : a + 100], set()).add((d, a))
+    shared = [p for p in windows.values() if len(p) > 1]
+    assert len(shared) > 500
+    for places in shared:
+        d0, a0 = min(places)
+        # some group has this window in all of its places
+        assert any(
+            (d0, a0 - k) in found and all((d, a - k) in found for d, a in places)
+            for (_, _, n), found in groups.items() for k in range(n - 99) if (d0, a0 - k) in found
+        )
+    assert repeats.repeat_groups(frame.limit(0)).count() == 0
+
+
 def test_intervals_give_all_maximal_repeats():
     text = b"xabcyabcwabczzabqabq"
     order = sorted(range(len(text)), key=lambda i: text[i:])

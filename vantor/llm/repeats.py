@@ -74,7 +74,8 @@ def _rows(kind, x, c, doc, th, at, to) -> pa.RecordBatch:
 
 
 _SCHEMA = "kind byte, x long, c long, doc long, th long, at int, to int"
-_ANCHOR, _SPAN, _ASKED = 0, 1, 2
+_ANCHOR, _SPAN, _HEAD = 0, 1, 2
+_SALTS = 8
 
 
 def _merged(doc, th, at, to):
@@ -124,15 +125,14 @@ def _first_of_classes(docs: DataFrame, window: int, q: int) -> DataFrame:
 
 
 def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
-    """Spans of all occurrences but the first of each class, and the first ones (``_ASKED``) of anchors that have several classes.
+    """Spans of all occurrences but the first of each class, and the first ones (``_HEAD``).
 
-    Reads each partition once in order and holds one batch of it.
+    Dealt by anchor and class, so that an anchor that very many texts have is spread; each partition is read once in order.
     """
     before = window - q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # first row of the last class
-        waiting = None  # the same if its anchor has no other class yet
         for batch in batches:
             kind, x, c, doc, th, at, to = (batch.column(i).to_numpy() for i in range(7))
             passing = kind == _SPAN
@@ -141,7 +141,8 @@ def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
             x, c, doc, th, at = (v[~passing] for v in (x, c, doc, th, at))
             if not len(x):
                 continue
-            if lead is not None:
+            old = lead is not None
+            if old:
                 x, c, doc, th, at = (np.concatenate([[p], v]) for p, v in zip(lead, (x, c, doc, th, at), strict=True))
             first = np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1])])
             heads = np.flatnonzero(first)
@@ -150,27 +151,27 @@ def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
             if again.any():
                 d, t, a, b = _merged(doc[again], th[again], np.maximum(at[again] - before, 0), at[again] + window)
                 yield _rows(_SPAN, 0, 0, d, t, a, b)
-            hx = x[heads]
-            prev = np.concatenate([[False], hx[1:] == hx[:-1]])
-            following = np.concatenate([hx[1:] == hx[:-1], [False]])
-            asked = prev | following
-            if lead is not None and waiting is None:  # it has been asked for before
-                asked[0] = False
-            asked_heads = heads[asked]
-            if len(asked_heads):
-                yield _rows(_ASKED, x[asked_heads], 0, doc[asked_heads], th[asked_heads], at[asked_heads], -1)
+            fresh = heads[1:] if old else heads
+            if len(fresh):
+                yield _rows(_HEAD, x[fresh], c[fresh], doc[fresh], th[fresh], at[fresh], -1)
             last = heads[-1]
-            many = prev[-1] or (len(heads) == 1 and lead is not None and waiting is None)
             lead = (x[last], c[last], doc[last], th[last], at[last])
-            waiting = None if many else lead
 
-    return rows.repartition(F.col("x")).sortWithinPartitions("x", "c", "doc", "th", "at").mapInArrow(run, _SCHEMA)
+    return rows.repartition(F.col("x"), F.col("c")).sortWithinPartitions("x", "c", "doc", "th", "at").mapInArrow(run, _SCHEMA)
+
+
+def _several(heads: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The heads of anchors with two classes or more, and ``x, n`` of those anchors. Salts spread the heads of one anchor."""
+    many = written(heads.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-anchors")
+    salted = many.select("x", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<long>")).alias("salt"))
+    asked = heads.withColumn("salt", F.pmod("c", F.lit(_SALTS))).join(salted, ["x", "salt"])
+    return asked.select("x", "c", "doc", "th", "at"), many
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame, window: int, q: int) -> DataFrame:
-    """``x, doc, th, at, left, right`` of the asked-for anchors: the bytes before (nearest first) and from the anchor on."""
+    """``x, doc, th, at, left, right, c`` of the asked-for anchors: the bytes before (nearest first) and from the anchor on."""
     before = window - q
-    per_doc = asked.groupBy("doc", "th").agg(F.collect_list("x").alias("xs"), F.collect_list("at").alias("ats"))
+    per_doc = asked.groupBy("doc", "th").agg(F.collect_list("x").alias("xs"), F.collect_list("at").alias("ats"), F.collect_list("c").alias("cs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, "text", _SLICE):
@@ -183,10 +184,10 @@ def _surroundings(docs: DataFrame, asked: DataFrame, window: int, q: int) -> Dat
             here = base + at
             left = [raw[a:b][::-1] for a, b in zip(np.maximum(base, here - before).tolist(), here.tolist(), strict=True)]
             right = [raw[a:b] for a, b in zip(here.tolist(), np.minimum(end, here + window).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(3).flatten(), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(4).flatten(), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["x", "doc", "th", "at", "left", "right"])
+            yield pa.RecordBatch.from_arrays([batch.column(3).flatten(), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(4).flatten(), pa.array(left, pa.binary()), pa.array(right, pa.binary()), batch.column(5).flatten()], ["x", "doc", "th", "at", "left", "right", "c"])
 
-    joined = docs.join(per_doc, ["doc", "th"]).select("doc", "th", "text", "xs", "ats")
-    return joined.mapInArrow(run, "x long, doc long, th long, at int, left binary, right binary")
+    joined = docs.join(per_doc, ["doc", "th"]).select("doc", "th", "text", "xs", "ats", "cs")
+    return joined.mapInArrow(run, "x long, doc long, th long, at int, left binary, right binary, c long")
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +264,29 @@ def maximal_repeats(x: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: t
                 yield members[a : b + 1], extent, length
 
 
+def _by_anchor(around: DataFrame, scan, schema: str) -> DataFrame:
+    """``scan`` of tables that hold all rows of their anchors, some _TREE_ROWS at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n <= _TREE_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            x = table.column(0).to_numpy()
+            cut = int(np.searchsorted(x, x[-1], "left"))  # the last anchor may go on
+            if cut:
+                yield from scan(table.slice(0, cut))
+            held, n = [table.slice(cut)], table.num_rows - cut
+        if n:
+            yield from scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return around.repartition(F.col("x")).sortWithinPartitions("x").mapInArrow(run, schema)
+
+
 def _scan_trees(around: DataFrame, window: int, q: int) -> DataFrame:
     """Spans ``doc, th, at, to`` of all occurrences but the first of each maximal repeat, anchor by anchor."""
     before = window - q
@@ -281,24 +305,77 @@ def _scan_trees(around: DataFrame, window: int, q: int) -> DataFrame:
             who, low, high = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in _merged(doc[who], th[who], low, high)], ["doc", "th", "at", "to"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n <= _TREE_ROWS:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            x = table.column(0).to_numpy()
-            cut = int(np.searchsorted(x, x[-1], "left"))  # the last anchor may go on
-            if cut:
-                yield from scan(table.slice(0, cut))
-            held, n = [table.slice(cut)], table.num_rows - cut
-        if n:
-            yield from scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    return _by_anchor(around, scan, "doc long, th long, at long, to long")
+
 
-    return around.repartition(F.col("x")).sortWithinPartitions("x").mapInArrow(run, "doc long, th long, at long, to long")
+def _scan_groups(around: DataFrame, window: int, q: int) -> DataFrame:
+    """``g1, g2, length, x, c, back``: the classes of each maximal repeat, how far before the anchor it starts, and a hash of its bytes."""
+    before = window - q
+
+    def scan(table: pa.RecordBatch):
+        x, c = table.column(0).to_numpy(), table.column(6).to_numpy()
+        left, right = table.column(4).to_pylist(), table.column(5).to_pylist()
+        members, backs, sizes, texts = [], [], [], []
+        for who, a, b in maximal_repeats(x, _matrix(table.column(4), before), _matrix(table.column(5), window), window):
+            members.append(who)
+            backs.append(np.full(len(who), a))
+            sizes.append(np.full(len(who), a + b))
+            texts.append((left[who[0]][:a][::-1] + right[who[0]][:b], len(who)))
+        if members:
+            who = np.concatenate(members)
+            text = B.Text(pa.array([t for t, _ in texts], pa.binary()))
+            g1, g2 = (np.repeat(B.signed(h), [n for _, n in texts]) for h in text.hashes128(text.at[:-1], text.at[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g1, g2, np.concatenate(sizes), x[who], c[who], np.concatenate(backs))], ["g1", "g2", "length", "x", "c", "back"])
+
+    return _by_anchor(around, scan, "g1 long, g2 long, length long, x long, c long, back long")
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, q: int = Q, most_classes: int = MOST_CLASSES) -> DataFrame:
+    """``g1, g2, length, doc, start``: every group of equal strings of ``window`` bytes or more, with all of its occurrences.
+
+    Groups are the maximal repeats among the surroundings of an anchor: strings that some occurrences have in common and that
+    can't be extended without losing one or leaving the surroundings (``window - q`` bytes before the anchor, ``window`` from it
+    on). A longer repeat is given from each of its anchors; all its windows are in some group. ``g1, g2`` are a hash of the
+    bytes; ``doc`` is the id, or its number in the order of ids that aren't integers. Of anchors with more than
+    ``most_classes`` surroundings, the shared windows are the groups. Null and empty texts have no repeats; rows with the same
+    id and text are one document; an empty table gives an empty result.
+    """
+    docs = numbered(docs, id_col, "_number")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.coalesce("_number", F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).dropDuplicates(["doc", "th"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.slices(batches, "text", _SLICE):
+            who, at, x, c = anchors(B.Text(batch.column(2)), window, q)
+            yield _rows(_ANCHOR, B.signed(x), B.signed(c), batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who], at, -1)
+
+    every = written(keyed.mapInArrow(places, _SCHEMA).select("x", "c", "doc", "th", "at"), "groups-places")
+    place = F.struct("doc", "th", "at")
+    classes = written(every.groupBy("x", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("x", "c", "first.*", "n"), "groups-classes")
+    heads = classes.select("x", "c", "doc", "th", "at")
+    asked, many = _several(heads, "groups")
+    dense = many.where(F.col("n") > most_classes).select("x")
+    around = written(_surroundings(keyed, asked.join(dense, "x", "left_anti"), window, q), "groups-surroundings")
+    # a class of several occurrences is a group by itself: its whole surroundings
+    whole = written(_surroundings(keyed, classes.where("n > 1").select(*heads.columns), window, q), "groups-whole")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            text = B.Text(pa.array([a[::-1] + b for a, b in zip(table.column(4).to_pylist(), table.column(5).to_pylist(), strict=True)], pa.binary()))
+            back = np.diff(B.Text(table.column(4)).at)
+            g1, g2 = text.hashes128(text.at[:-1], text.at[1:])
+            size = np.diff(text.at)
+            found = pa.RecordBatch.from_arrays([pa.array(B.signed(g1)), pa.array(B.signed(g2)), pa.array(size), table.column(0), table.column(6), pa.array(back)], ["g1", "g2", "length", "x", "c", "back"])
+            yield found.filter(pa.array(size >= window))
+
+    schema = "g1 long, g2 long, length long, x long, c long, back long"
+    found = written(_scan_groups(around, window, q).unionByName(whole.mapInArrow(full, schema)), "groups-found")
+    out = found.join(every, ["x", "c"]).select("g1", "g2", "length", "doc", "th", (F.col("at") - F.col("back")).alias("start"))
+    if dense.limit(1).count():
+        thick = written(_windows_of_dense(_surroundings(keyed, every.join(dense, "x", "left_semi"), window, q).drop("c"), window, q), "groups-dense")
+        shared = thick.groupBy("x", "c").agg(F.count("*").alias("n")).where("n > 1").select("x", "c")
+        out = out.unionByName(thick.join(shared, ["x", "c"]).select(F.col("x").alias("g1"), F.col("c").alias("g2"), F.lit(window).cast("long").alias("length"), "doc", "th", F.col("at").alias("start")))
+    return out.distinct().select("g1", "g2", "length", F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc"), "start")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -377,13 +454,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = written(_classes(_first_of_classes(keyed, window, q), window, q), "repeat-classes")
-    asked = found.where(F.col("kind") == _ASKED).select("x", "doc", "th", "at")
+    asked, many = _several(found.where(F.col("kind") == _HEAD), "repeat")
     around = written(_surroundings(keyed, asked, window, q), "repeat-surroundings")
-    dense = written(around.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > most_classes).select("x"), "repeat-dense")
+    dense = many.where(F.col("n") > most_classes).select("x")
     spans = found.where(F.col("kind") == _SPAN).select("doc", "th", F.col("at").cast("long").alias("at"), F.col("to").cast("long").alias("to"))
     spans = spans.unionByName(_scan_trees(around.join(dense, "x", "left_anti"), window, q))
     if dense.limit(1).count():
-        spans = spans.unionByName(_later_windows(_windows_of_dense(around.join(dense, "x", "left_semi"), window, q)))
+        spans = spans.unionByName(_later_windows(_windows_of_dense(around.join(dense, "x", "left_semi").drop("c"), window, q)))
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("ats"), F.collect_list("to").alias("tos"))
     cols = {f"_{i}": F.col(c) for i, c in enumerate(names)}
     aliases = list(cols)
