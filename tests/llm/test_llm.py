@@ -426,6 +426,28 @@ def test_toxicity_learns_and_holds_out(spark, none):
     assert toxicity.score(docs.limit(1), toxicity.train(docs, labels.limit(0))).first().score == 0.5
 
 
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    rows = [(i, "stupid folk " * (20_000 if i == 0 else 1) if i % 2 else "kind words here", "x") for i in range(400)]
+    rows += [(1, rows[1][1], "x"), (None, rows[1][1], "x"), (5000, "stupid folk " * 20_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    got = toxicity.score(docs.withColumn("predicted", F.lit("y")).withColumn("_label", F.lit(0)), machine).collect()
+    assert len(got) == len(rows) and {r.predicted for r in got if r.doc_id in (1, None, 5000)} == {1} and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_toxicity_sample_is_bounded_by_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda sets, y, f=toxicity.fit: sizes.append(sum(map(len, sets))) or f(sets, y))
+    for most in (1 << 24, 300, 0):
+        monkeypatch.setattr(toxicity, "TRAIN_TERMS", most)
+        toxicity.train(docs, labels)
+    assert sizes[0] >= 900 and 0 < sizes[1] <= 300 and sizes[2] == 0
+
+
 def naive_forward(model, symbols):
     """The likelihood summed over all paths, by the unscaled recursion in whole numbers of Python floats."""
     alpha = model.start * model.emit[symbols[0]] * model.shares[symbols[0]]
@@ -704,6 +726,32 @@ def test_digests_of_queries(spark):
     assert all(r.kept_sha256 == hashlib.sha256(want[r.doc_id][0]).hexdigest() for r in got)
 
 
+def test_very_long_urls(spark):
+    url = "http://" + "a." * 5000 + "example.org/en/1" + "/x" * 50_000 + "?q"
+    pages = spark.createDataFrame([(1, url), (1, url), (2, "http://example.org" + "/" * 30_000)], "page_id long, url string")
+    got = urlfilter.filter_urls(pages, RULES).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.org/en/1", "block")] * 2 + [("org/", "allow")] and len(got[0].path) > 100_000
+
+
+def test_stages_take_empty_tables_nulls_and_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = [(1, "clean words", "en", "s", 11), (2, None, None, None, None), (2, None, None, None, None), (None, "", "en", "s", 0), (3, "x one two three four five six seven eight nine ten eleven", "en", None, 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for frame in (docs, docs.limit(0), docs.withColumn("score", F.lit("a")).withColumn("n_hit", F.lit("b")).withColumn("copies", F.lit("c")).withColumn("sig", F.lit("d"))):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, frame, folder)
+            n = got.count()
+            assert got.columns == [*corpus_pipeline.COLUMNS, *(["copy"] if name == "mixing" else [])], name
+            if frame.isEmpty():
+                assert n == 0
+            elif name == "decontamination":
+                assert n == 4
+
+
 def test_pipeline(spark):
     import os
 
