@@ -44,8 +44,11 @@ class Table:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _WRITTEN.append(self)
 
     def drop(self) -> None:
+        if self in _WRITTEN:
+            _WRITTEN.remove(self)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -55,9 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The files stay until :func:`release`, as results that read them are computed later.
     """
-    table = Table(df, name)
-    _WRITTEN.append(table)
-    return table.df
+    return Table(df, name).df
 
 
 def mark() -> int:
@@ -67,7 +68,5 @@ def mark() -> int:
 
 def release(since: int = 0, keep: int = 0) -> None:
     """Removes the files of all tables written since a mark, but for the last ``keep``; results that read them are gone too."""
-    end = len(_WRITTEN) - keep
-    for table in _WRITTEN[since:end]:
+    for table in _WRITTEN[since : len(_WRITTEN) - keep]:
         table.drop()
-    del _WRITTEN[since:end]
