@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantor.llm import _bytes as B
-from vantor.llm._store import forget, written
+from vantor.llm._store import Table, forget, written
 
 STATES = 8
 #: Baum-Welch makes at least and at most so many passes; between, it stops when a pass gains less than TOLERANCE a token (log10).
@@ -368,8 +368,8 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, lea
     return model, course
 
 
-def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tuple[np.ndarray, DataFrame]:
-    """The expected counts of every training token in each state, from one more pass: of the frequent ones by symbol, and ``h, g`` of all others.
+def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tuple[np.ndarray, Table]:
+    """The expected counts of every training token in each state, from one more pass: of the frequent ones by symbol, and a table that has ``h, g`` of all others (where ``part`` is below 0).
 
     Tasks sum before they send: the frequent ones as arrays in parts of fixed size, the others one row a token and task. One
     shuffle brings equal parts and equal tokens together, sorted, where they are summed as they stream by.
@@ -438,10 +438,10 @@ def token_states(encoded: DataFrame, model: HiddenMarkov, known: Unigrams) -> tu
             yield rows(k, 0, lists(x, len(x)))
 
     sent = encoded.select("symbols", "rare").mapInArrow(run, "part int, h long, g array<float>")
-    found = written(sent.repartition(F.xxhash64("part", "h")).sortWithinPartitions("part", "h").mapInArrow(add, "part int, h long, g array<float>"), "hmm-states")
-    dense = found.where("part >= 0").select("part", "g").toArrow().sort_by("part").column("g").combine_chunks()  # FREQUENT tokens at most
+    table = Table(sent.repartition(F.xxhash64("part", "h")).sortWithinPartitions("part", "h").mapInArrow(add, "part int, h long, g array<float>"), "hmm-states")
+    dense = table.df.where("part >= 0").select("part", "g").toArrow().sort_by("part").column("g").combine_chunks()  # FREQUENT tokens at most
     flat = dense.flatten().to_numpy().astype(np.float64) if len(dense) else np.zeros(0)
-    return (flat.reshape(-1, states) if len(flat) else np.zeros((frequent, states))), found.where("part < 0").select("h", "g")
+    return (flat.reshape(-1, states) if len(flat) else np.zeros((frequent, states))), table
 
 
 def emissions(frequent: np.ndarray, tokens: DataFrame, counts: DataFrame, known: Unigrams, prior: float = PRIOR) -> tuple[np.ndarray, DataFrame, np.ndarray]:
@@ -476,16 +476,20 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", keep: tuple
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in (keep or docs.columns) if c not in made]
-    counts = written(vocabulary(docs.where(training), text_col), "hmm-vocabulary")
+    vocabulary_table = Table(vocabulary(docs.where(training), text_col), "hmm-vocabulary")
+    counts = vocabulary_table.df
     uni = unigrams(counts, frequent, symbols)
     cols = {f"_{i}": F.col(c) for i, c in enumerate(names)}
     rows = docs.select(*[c.alias(n) for n, c in cols.items()], F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
     encoded = written(encode(rows, uni), "hmm-encoded")
     model, _ = baum_welch(encoded.where("training"), uni.symbol_shares(), states)
     forget(docs.sparkSession)  # the shuffles of the passes
-    dense, tokens = token_states(encoded.where("training"), model, uni)
+    dense, states_table = token_states(encoded.where("training"), model, uni)
+    tokens = states_table.df.where("part < 0").select("h", "g")
     common, table, unknown = emissions(dense, tokens, counts, uni)
     table = written(table, "hmm-emissions")
+    vocabulary_table.drop()
+    states_table.drop()
     forget(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, np.concatenate([common, unknown[None, :]])))
     denominator = uni.denominator
