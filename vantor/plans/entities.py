@@ -289,9 +289,9 @@ def fact_health(spark, d):
     return facts.health(e, F.col("event_type") == "error", 1000, e.where("value > 90"))
 
 
-@register(f"SELECT user_id, count(*) AS facts_count, {_r('avg(CAST(event_id % 10 AS DOUBLE) / 10e0)', 2)} AS overall_confidence, count(DISTINCT event_type) AS predicates FROM events GROUP BY user_id")
+@register(f"SELECT user_id, count(*) AS facts_count, {_r('avg(CAST(event_id % 7 AS DOUBLE) / 8e0)', 2)} AS overall_confidence, count(DISTINCT event_type) AS predicates FROM events GROUP BY user_id")
 def subject_confidence(spark, d):
-    return facts.subject_confidence(table(spark, d, "events").withColumn("c", (F.col("event_id") % 10).cast("double") / 10.0), "user_id", "event_type", "value", "c")
+    return facts.subject_confidence(table(spark, d, "events").withColumn("c", (F.col("event_id") % 7).cast("double") / 8.0), "user_id", "event_type", "value", "c")
 
 
 @register("""WITH p AS (SELECT event_id, props, lag(props) OVER (ORDER BY event_id) AS before, event_type, lag(event_type) OVER (ORDER BY event_id) AS type_before FROM events)
