@@ -130,7 +130,8 @@ def test_keep_first_is_sequential(spark):
     assert sorted(x.i for x in identity.keep_first(frame, "i", [F.col("a"), F.col("b"), F.col("c")]).collect()) == kept
 
 
-def test_pairs_of_a_least_overlap_are_exact(spark):
+def test_pairs_of_a_least_overlap_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DIRECT", 0)
     r = random.Random(6)
     sets = {k: {r.randrange(40) for _ in range(r.randrange(1, 20))} | {99} for k in range(40)}  # all have one item
     frame = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "k int, i int")

@@ -9,21 +9,26 @@ from vantor.functions.numeric import rnd
 from vantor.sources.tables import Scratch
 
 
+#: Pairs a row of the input that are counted directly.
+DIRECT = 64
+
+
 def shared_pairs(rows: DataFrame, key: str, item: str, least: float = 0.0) -> DataFrame:
     """``a < b, n_shared, n_a, n_b, overlap``: pairs of keys with a Jaccard overlap of at least ``least``, exactly.
 
     Without a bound these are all pairs that share an item, as many as the square of a common item's keys. With one, a pair
-    must share one of the rarest items of both: of a key with n items the n - ceil(least * n) + 1 rarest. Only those are
-    joined, so items that very many keys have drop out of the join, and candidates are counted on all their items.
+    must share one of the rarest items of both: of a key with n items the n - ceil(least * n) + 1 rarest. Where items that very
+    many keys have would give more than DIRECT pairs a row, only those are joined, and candidates are counted on all their items.
     """
     scratch = Scratch(rows.sparkSession)
     own = scratch.write(rows.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k IS NOT NULL AND i IS NOT NULL").distinct(), "items")
     sizes = scratch.write(own.groupBy("k").agg(F.count("*").alias("n")), "sizes")
     side = lambda of, name: of.select(F.col("k").alias(name), "i")
-    if least <= 0:
+    common = scratch.write(own.groupBy("i").agg(F.count("*").alias("f")), "common")
+    n_rows, n_pairs = common.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum(F.col("f") * (F.col("f") - 1) / 2), F.lit(0.0))).first()
+    if least <= 0 or n_pairs <= DIRECT * n_rows:
         pairs = side(own, "a").join(side(own, "b"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
     else:
-        common = own.groupBy("i").agg(F.count("*").alias("f"))
         ranked = own.join(common, "i").join(sizes, "k").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("f", "i")))
         rare = scratch.write(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "i"), "prefixes")
         near = side(rare, "a").join(side(rare, "b"), "i").where("a < b").select("a", "b").distinct()
