@@ -125,14 +125,15 @@ def _first_of_classes(docs: DataFrame, window: int, q: int) -> DataFrame:
 
 
 def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
-    """Spans of all occurrences but the first of each class, and the first ones (``_HEAD``).
+    """Spans of all occurrences but the first of each class, and the first ones (``_HEAD``) of anchors that have several classes.
 
-    Dealt by anchor and class, so that an anchor that very many texts have is spread; each partition is read once in order.
+    Reads each partition once in order and holds one batch of it.
     """
     before = window - q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # first row of the last class
+        waiting = None  # the same if its anchor has no other class yet
         for batch in batches:
             kind, x, c, doc, th, at, to = (batch.column(i).to_numpy() for i in range(7))
             passing = kind == _SPAN
@@ -141,8 +142,7 @@ def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
             x, c, doc, th, at = (v[~passing] for v in (x, c, doc, th, at))
             if not len(x):
                 continue
-            old = lead is not None
-            if old:
+            if lead is not None:
                 x, c, doc, th, at = (np.concatenate([[p], v]) for p, v in zip(lead, (x, c, doc, th, at), strict=True))
             first = np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1])])
             heads = np.flatnonzero(first)
@@ -151,13 +151,21 @@ def _classes(rows: DataFrame, window: int, q: int) -> DataFrame:
             if again.any():
                 d, t, a, b = _merged(doc[again], th[again], np.maximum(at[again] - before, 0), at[again] + window)
                 yield _rows(_SPAN, 0, 0, d, t, a, b)
-            fresh = heads[1:] if old else heads
-            if len(fresh):
-                yield _rows(_HEAD, x[fresh], c[fresh], doc[fresh], th[fresh], at[fresh], -1)
+            hx = x[heads]
+            prev = np.concatenate([[False], hx[1:] == hx[:-1]])
+            following = np.concatenate([hx[1:] == hx[:-1], [False]])
+            asked = prev | following
+            if lead is not None and waiting is None:  # it has been asked for before
+                asked[0] = False
+            asked_heads = heads[asked]
+            if len(asked_heads):
+                yield _rows(_HEAD, x[asked_heads], 0, doc[asked_heads], th[asked_heads], at[asked_heads], -1)
             last = heads[-1]
+            many = prev[-1] or (len(heads) == 1 and lead is not None and waiting is None)
             lead = (x[last], c[last], doc[last], th[last], at[last])
+            waiting = None if many else lead
 
-    return rows.repartition(F.col("x"), F.col("c")).sortWithinPartitions("x", "c", "doc", "th", "at").mapInArrow(run, _SCHEMA)
+    return rows.repartition(F.col("x")).sortWithinPartitions("x", "c", "doc", "th", "at").mapInArrow(run, _SCHEMA)
 
 
 def _several(heads: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -454,9 +462,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = written(_classes(_first_of_classes(keyed, window, q), window, q), "repeat-classes")
-    asked, many = _several(found.where(F.col("kind") == _HEAD), "repeat")
+    asked = found.where(F.col("kind") == _HEAD).select("x", "c", "doc", "th", "at")
     around = written(_surroundings(keyed, asked, window, q), "repeat-surroundings")
-    dense = many.where(F.col("n") > most_classes).select("x")
+    dense = written(around.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > most_classes).select("x"), "repeat-dense")
     spans = found.where(F.col("kind") == _SPAN).select("doc", "th", F.col("at").cast("long").alias("at"), F.col("to").cast("long").alias("to"))
     spans = spans.unionByName(_scan_trees(around.join(dense, "x", "left_anti"), window, q))
     if dense.limit(1).count():
