@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -437,6 +438,16 @@ def test_toxicity_of_long_repeated_and_clashing_rows(spark):
     assert len({r.score for r in got if r.doc_id == 1}) == 1
 
 
+def test_toxicity_fit_holds_no_copy_of_all_terms():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 18, 400)).astype(np.int32) for _ in range(8000)]
+    labels = (r.random(8000) < 0.1).astype(np.int32)
+    tracemalloc.start()
+    toxicity.fit(sets, labels, epochs=1)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # 112 MB before
+    tracemalloc.stop()
+
+
 def test_toxicity_sample_is_bounded_by_terms(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")

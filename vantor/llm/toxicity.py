@@ -74,9 +74,17 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int
     machine = FactorizationMachine(0.0, np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
     if not len(sets):
         return machine
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    begin = np.cumsum([0, *(len(s) for s in sets)])
-    seen, marked = np.bincount(flat, minlength=size), np.bincount(flat, labels[owner], size)
+
+    def of(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of some documents, and which of them each belongs to; all terms at once would fill the driver."""
+        return np.concatenate([sets[k] for k in who]), np.repeat(np.arange(len(who)), [len(sets[k]) for k in who])
+
+    seen, marked = np.zeros(size, np.int64), np.zeros(size)
+    for at in range(0, len(sets), batch):
+        who = np.arange(at, min(at + batch, len(sets)))
+        term, mine = of(who)
+        seen += np.bincount(term, minlength=size)
+        marked += np.bincount(term, labels[who][mine], size)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     # the difference of a term's share of labelled documents from the overall share, in standard errors
     pull = np.abs(marked - share * seen) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9) + 1.0)
@@ -89,9 +97,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rank: int
         order = rng.permutation(len(sets))
         for at in range(0, len(order), batch):
             who = order[at : at + batch]
-            length = begin[who + 1] - begin[who]
-            term = flat[np.repeat(begin[who], length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
-            mine = np.repeat(np.arange(len(who)), length)
+            term, mine = of(who)
             here, local = np.unique(term, return_inverse=True)
             vt = v[term]
             sums = np.stack([np.bincount(mine, vt[:, f], len(who)) for f in range(rank)], 1)
@@ -143,13 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         if upto > TRAIN_TERMS:
             break
         bound = at
-    sample = extracted.where(step <= bound if bound is not None else F.lit(False)).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    lists = sample.column("terms").combine_chunks()
+    sample = extracted.where(step <= bound if bound is not None else F.lit(False)).toArrow()
     if not sample.num_rows:
         return fit([], np.zeros(0))
-    cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    flat = lists.flatten().to_numpy()
-    return fit([flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], sample.column("label").to_numpy())
+    ids, y = sample.column("id").to_numpy(), sample.column("label").to_numpy()
+    # the terms stay where they are; only the documents are put in order
+    sets = [one.values.to_numpy() for one in sample.column("terms")]
+    order = np.lexsort((y, ids))
+    return fit([sets[k] for k in order], y[order])
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
