@@ -39,7 +39,7 @@ class Table:
     """A written DataFrame: ``df`` reads it back, ``drop`` removes its files."""
 
     def __init__(self, df: DataFrame, name: str, partition_by: str | None = None):
-        self.spark = df.sparkSession
+        self.spark, self.name = df.sparkSession, name
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
@@ -70,3 +70,10 @@ def release(since: int = 0, keep: int = 0) -> None:
     """Removes the files of all tables written since a mark, but for the last ``keep``; results that read them are gone too."""
     for table in _WRITTEN[since : len(_WRITTEN) - keep]:
         table.drop()
+
+
+def release_named(since: int, *names: str) -> None:
+    """Removes the files of the tables of some names that were written since a mark."""
+    for table in _WRITTEN[since:]:
+        if table.name in names:
+            table.drop()
