@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vantor.llm import _bytes as B
-from vantor.llm import decontaminate, hmm, licenses, linededup, mixing, quality, repeats, shingles, simhash, toxicity, urlfilter
+from vantor.llm import _store, decontaminate, hmm, licenses, linededup, mixing, quality, repeats, shingles, simhash, toxicity, urlfilter
 from vantor.llm._xxh import xxh64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -370,6 +371,29 @@ def test_quality_does_not_depend_on_the_amount_of_text(spark, docs, monkeypatch)
         assert judged(quality.Size(large.bits, 64, large.least)) == want, name
 
 
+def test_quality_lets_go_of_shuffles_and_takes_turns(spark, docs, monkeypatch):
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    there, left, init = files(), [], _store.Table.__init__
+
+    def opened(self, df, name, *rest):
+        ends = time.time() + 5
+        while files() - there and time.time() < ends:
+            time.sleep(0.05)
+        left.append((name, len(files() - there)))
+        init(self, df, name, *rest)
+
+    judged = lambda: [(x.doc_id, x.kept, x.log_ppl and round(x.log_ppl, 9)) for x in quality.judge(docs).orderBy("doc_id", "log_ppl").collect()]
+    monkeypatch.setattr(_store.Table, "__init__", opened)
+    since = _store.mark()
+    want = judged()
+    assert len(left) > 10 and not [x for x in left if x[1]]
+    assert [x.name for x in _store._WRITTEN[since:]] == ["quality"]
+    monkeypatch.setattr(_store.Table, "__init__", init)
+    monkeypatch.setattr(quality, "COUNT_TURNS", 1)
+    monkeypatch.setattr(quality, "JOIN_TURNS", 1)
+    assert judged() == want
+
+
 def test_coded_trigrams_come_back():
     r = np.random.default_rng(4)
     for n in (1, 7, 5000):
