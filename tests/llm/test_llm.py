@@ -403,6 +403,24 @@ def test_coded_trigrams_come_back():
         assert all(a.tolist() == b.tolist() for a, b in zip((p, u, c), back, strict=True))
 
 
+def test_thin_numbers_come_back():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 5000):
+        code, value = np.sort(r.integers(0, 1 << 64, n, np.uint64)), r.random(n).astype(np.float32)
+        got = quality._table((*quality._thin(code), value))
+        assert got[0].dtype == np.uint64 and got[0].tolist() == code.tolist() and got[1] is value
+
+
+def test_the_fit_lets_the_sample_go(spark, monkeypatch):
+    """Once the machine is fitted, the driver holds nothing of the sample of terms, and the freed memory is given back."""
+    trimmed = []
+    monkeypatch.setattr(toxicity, "trim", lambda: trimmed.append(pa.total_allocated_bytes()))
+    before = pa.total_allocated_bytes()
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(200)], "doc_id long, text string")
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert trimmed and trimmed[-1] - before < 200_000
+
+
 def test_packed_numbers_come_back():
     r = np.random.default_rng(3)
     for kind in (np.uint32, np.uint64):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -37,6 +40,14 @@ def forget(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives this process's freed memory back to the system, which Arrow and the C library otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def shuffles_go(spark: SparkSession) -> Iterator[None]:
     """Within it, the shuffle files of an execution go when it ends, without waiting for the driver to collect its garbage."""

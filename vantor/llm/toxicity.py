@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm import _bytes as B
-from vantor.llm._store import written
+from vantor.llm._store import forget, trim, written
 
 #: Terms are hashed to 2 ** BITS places.
 BITS = 18
@@ -150,6 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             break
         bound = at
     sample = extracted.where(step <= bound if bound is not None else F.lit(False)).toArrow()
+    forget(docs.sparkSession)  # the JVM's copy of the sample, before the fit takes room
+    machine = _fitted(sample)
+    del sample
+    trim()
+    return machine
+
+
+def _fitted(sample: pa.Table) -> FactorizationMachine:
     if not sample.num_rows:
         return fit([], np.zeros(0))
     ids, y = sample.column("id").to_numpy(), sample.column("label").to_numpy()
